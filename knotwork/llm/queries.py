@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, sharding, simhash
+from . import bpe, exact_dedup, html_extract, packing, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,13 +50,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard_id")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_sql() -> str:
     table = sharding.lookup_table([f"shard-{i}" for i in range(sharding.SHARDS)])
     return sharding.placement_sql(table, sharding.SLOTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_packing, op6_bpe, op7_simhash, op9_sharding)}
+    return {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op5_packing, op6_bpe, op7_simhash, op9_sharding, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
