@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import indexed, pick
 
@@ -156,7 +157,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", column: st
             scores = pa.array([m.score(features(t.as_py()), seen) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "__score"])
 
-    schema = frame.schema.add("__score", "double")
+    schema = T.StructType([*frame.schema.fields, T.StructField("__score", T.DoubleType())])
     return frame.mapInArrow(run, schema).toDF(*names, column)
 
 
