@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, knn_join, language_id, packing, sharding, simhash, toxicity
+from . import bpe, exact_dedup, html_extract, knn_join, language_id, packing, pii, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_table(spark, sf_dir, "documents")).select("doc_id", "text", "entities")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id"))
     return placed.select("doc_id", "slot", "shard_id")
@@ -82,7 +86,7 @@ def op9_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_join, op2_toxicity, op3_exact_dedup, op4_language_id, op5_packing, op6_bpe, op7_simhash, op9_sharding, op10_html)}
+    return {f.__name__: f for f in (op1_knn_join, op2_toxicity, op3_exact_dedup, op4_language_id, op5_packing, op6_bpe, op7_simhash, op8_pii, op9_sharding, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:

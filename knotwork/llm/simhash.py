@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, spool
@@ -203,10 +203,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+    """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, component_root.
 
     A null or empty text has fingerprint zero, which is linked like any other.  ``component_id``
-    is the smallest non-null identifier reachable.  Rows that repeat an identifier each get a row;
+    is the smallest non-null identifier reachable; ``component_root``, one of the component's
+    fingerprints, tells components apart even where identifiers repeat.  Rows that repeat an identifier each get a row;
     an empty table gives an empty result; other columns play no part.
     """
     fps = spool(fingerprints(docs, id_col, text_col), "fingerprints")
@@ -214,7 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = components(links(nodes.select("fp")))
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), hexadecimal("fp").alias("fingerprint"), "component_id", hexadecimal("root").alias("component_root"))
+
+
+def hexadecimal(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
