@@ -16,6 +16,8 @@ while there is no exception.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ _TITLES_M = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"
 _TITLES_F = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 _TITLES_X = ("Dr", "Prof", "Mx")
 _NAME = r"\p{Lu}\p{Ll}+(?:[-']\p{Lu}\p{Ll}+)?"
-EMAIL = r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:sk|pk|ghp|gho|xox[bp]|AKIA)[-_]?[0-9A-Za-z_-]{16,}"
+EMAIL = r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-]{1,64}+(?:\.[\p{L}\p{N}_%+-]{1,64}+){0,20}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,20}\.\p{L}{2,24}"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:(?:sk|pk|ghp|gho|xox[bp])[-_][0-9A-Za-z_-]{16,256}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
@@ -75,7 +77,10 @@ def kind_of(e: Column) -> Column:
 
 def canonical(e: Column) -> Column:
     """What equal entities have in common: letters without case, numbers without separators."""
-    kind = kind_of(e)
+    return _let(kind_of(e), lambda kind: _canonical(e, kind))
+
+
+def _canonical(e: Column, kind: Column) -> Column:
     return (
         F.when(kind.isin("email", "secret"), F.lower(e))
         .when(kind.isin("iban", "ssn", "phone", "card"), F.concat(kind, F.lit(":"), F.regexp_replace(e, "[^0-9A-Za-z]", "")))
@@ -83,6 +88,11 @@ def canonical(e: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hash(*parts: Column) -> Column:
     """Keyed hexadecimal digest."""
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
@@ -98,29 +108,36 @@ def _permuted(digits: Column, key: Column) -> Column:
     Halves of a and b digits, b - a <= 1, are added to modulo 10 ** a and 10 ** b in turn, so every
     round can be undone and no two strings of a length have one image.
     """
+    return _let(digits, lambda d: _feistel(d, key))
+
+
+def _feistel(digits: Column, key: Column) -> Column:
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
-    b = n - a
 
     def half(start: Column, length: Column) -> Column:
         return F.substring(digits, start, length).cast("decimal(38,0)")
 
-    start = F.struct(half(F.lit(1), a).alias("l"), half(a + 1, b).alias("r"))
+    start = F.struct(half(F.lit(1), a).alias("l"), half(a + 1, n - a).alias("r"), a.alias("a"), (n - a).alias("b"))
 
     def turn(s: Column, i: Column) -> Column:
         left = i % 2 == 0
         other = F.when(left, s["r"]).otherwise(s["l"])
-        mixed = _number(_hash(key, n.cast("string"), i.cast("string"), other.cast("string")), 1, 15).cast("decimal(38,0)")
-        size = F.rpad(F.lit("1"), F.when(left, a).otherwise(b) + 1, "0").cast("decimal(38,0)")
+        mixed = _number(_hash(key, s["a"].cast("string"), s["b"].cast("string"), i.cast("string"), other.cast("string")), 1, 15).cast("decimal(38,0)")
+        size = F.rpad(F.lit("1"), F.when(left, s["a"]).otherwise(s["b"]) + 1, "0").cast("decimal(38,0)")
         moved = F.pmod((F.when(left, s["l"]).otherwise(s["r"]) + mixed).cast("decimal(38,0)"), size).cast("decimal(38,0)")
-        return F.struct(F.when(left, moved).otherwise(s["l"]).alias("l"), F.when(left, s["r"]).otherwise(moved).alias("r"))
+        return F.struct(F.when(left, moved).otherwise(s["l"]).alias("l"), F.when(left, s["r"]).otherwise(moved).alias("r"), s["a"].alias("a"), s["b"].alias("b"))
 
     end = F.aggregate(F.array(*[F.lit(i) for i in range(6)]), start, turn)
-    return F.concat(F.lpad(end["l"].cast("string"), a, "0"), F.lpad(end["r"].cast("string"), b, "0"))
+    return _let(end, lambda x: F.concat(F.lpad(x["l"].cast("string"), x["a"], "0"), F.lpad(x["r"].cast("string"), x["b"], "0")))
 
 
 def _luhn(digits: Column) -> Column:
     """The check digit that makes ``digits`` and it valid."""
+    return _let(digits, _check_digit)
+
+
+def _check_digit(digits: Column) -> Column:
     n = F.length(digits)
     value = F.transform(
         F.sequence(F.lit(1), n),
@@ -135,12 +152,14 @@ def _double(d: Column) -> Column:
 
 def _refill(shape: Column, chars: Column, wanted: str) -> Column:
     """``shape`` with its characters of the class ``wanted`` replaced in turn by those of ``chars``."""
-    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), chars.alias("chars"))
 
     def put(s: Column, c: Column) -> Column:
         fits = c.rlike(wanted)
         return F.struct(
-            F.concat(s["out"], F.when(fits, F.substring(chars, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + fits.cast("int")).alias("at")
+            F.concat(s["out"], F.when(fits, F.substring(s["chars"], s["at"], F.lit(1))).otherwise(c)).alias("out"),
+            (s["at"] + fits.cast("int")).alias("at"),
+            s["chars"].alias("chars"),
         )
 
     return F.aggregate(F.split(shape, ""), state, put)["out"]
@@ -156,12 +175,13 @@ def _letters(digest: Column, first: int, count: int) -> Column:
 
 
 def _card(e: Column, key: Column) -> Column:
-    digits = _digits(e)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    after = _permuted(body, key)
+    return _let(_digits(e), lambda digits: _let(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda body: _card_of(e, digits, body, key)))
+
+
+def _card_of(e: Column, digits: Column, body: Column, key: Column) -> Column:
     # how far the check digit was off stays as it was: valid numbers stay valid, distinct ones distinct
     off = F.pmod(F.substring(digits, F.length(digits), F.lit(1)).cast("int") - _luhn(body).cast("int"), F.lit(10))
-    return _refill(e, F.concat(after, F.pmod(_luhn(after).cast("int") + off, F.lit(10)).cast("string")), r"\d")
+    return _let(_permuted(body, key), lambda after: _refill(e, F.concat(after, F.pmod(_luhn(after).cast("int") + off, F.lit(10)).cast("string")), r"\d"))
 
 
 def _phone(e: Column, key: Column) -> Column:
@@ -181,14 +201,15 @@ def _ipv4(e: Column, key: Column) -> Column:
         return F.struct(s["r"].alias("l"), mixed.alias("r"))
 
     end = F.aggregate(F.array(*[F.lit(i) for i in range(6)]), start, turn)
-    halves = [end["l"], end["r"]]
-    return F.concat_ws(".", *[x for h in halves for x in (F.floor(h / 256).cast("string"), (h % 256).cast("string"))])
+    return _let(end, lambda x: F.concat_ws(".", *[y for h in (x["l"], x["r"]) for y in (F.floor(h / 256).cast("string"), (h % 256).cast("string"))]))
 
 
 def _email(e: Column, key: Column) -> Column:
-    digest = _hash(key, F.lower(e))
-    local = F.split(e, "@")[0]
-    number = F.regexp_extract(local, r"\d+$", 0)
+    return _let(_hash(key, F.lower(e)), lambda digest: _email_of(e, digest))
+
+
+def _email_of(e: Column, digest: Column) -> Column:
+    number = F.regexp_extract(F.split(e, "@")[0], r"\d+$", 0)
     figures = F.when(number != "", F.concat(F.lit("."), F.substring(_number(digest, 40, 14).cast("string"), F.lit(1), F.least(F.length(number), F.lit(9))))).otherwise("")
     out = F.concat(_letters(digest, 1, 12), figures, F.lit("@"), _letters(digest, 20, 8), F.lit("."), F.regexp_extract(e, r"\.(\p{L}+)$", 1))
     return F.when(e == F.upper(e), F.upper(out)).otherwise(out)
@@ -196,7 +217,7 @@ def _email(e: Column, key: Column) -> Column:
 
 def _secret(e: Column, key: Column) -> Column:
     """Digits become digits or letters as hexadecimal allows; a prefix that says the maker stays."""
-    head = F.regexp_extract(e, r"^(?:sk|pk|ghp|gho|xox[bp]|AKIA)[-_]?(?=[0-9A-Za-z_-]{16})", 0)
+    head = F.regexp_extract(e, r"^(?:(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA)(?=[0-9A-Za-z_-]{16})", 0)
     digest = F.concat(*[_hash(key, F.lower(e), F.lit(str(i))) for i in range(2)])
     body = F.substring(F.repeat(digest, 8), F.lit(1), F.length(e) - F.length(head))
     return F.concat(head, F.when(e == F.upper(e), F.upper(body)).otherwise(body))
@@ -217,10 +238,12 @@ def _one_of(values: list[str], digest: Column, at: int) -> Column:
 
 def _person(e: Column, key: Column) -> Column:
     """The title stays; given names follow its gender and the name's script."""
-    title = F.regexp_extract(e, r"^\S+", 0)
+    return _let(_hash(key, e), lambda digest: _let(F.regexp_extract(e, r"^\S+", 0), lambda title: _person_of(e, digest, title)))
+
+
+def _person_of(e: Column, digest: Column, title: Column) -> Column:
     bare = F.regexp_replace(title, r"\.$", "")
     names = F.size(F.split(e, " ")) - 1
-    digest = _hash(key, e)
     out = None
     for script, sign in (("cyrillic", r"\p{IsCyrillic}"), ("latin", "")):
         given = _one_of(GIVEN[script, "x"], digest, 1)
@@ -234,8 +257,11 @@ def _person(e: Column, key: Column) -> Column:
 
 def surrogate(e: Column, key: str = KEY, draw: int = 0) -> Column:
     """The replacement of an entity under a key; later draws are others."""
-    kind = kind_of(e)
     own = F.lit(f"{key}\x1f{draw}")
+    return _let(kind_of(e), lambda kind: _surrogate(e, kind, own))
+
+
+def _surrogate(e: Column, kind: Column, own: Column) -> Column:
     return (
         F.when(kind == "email", _email(e, own))
         .when(kind == "secret", _secret(e, own))
