@@ -29,6 +29,8 @@ class P:
     def ne(x: Any) -> P:
         return P("ne", (x,))
 
+    neq = ne
+
     @staticmethod
     def gt(x: Any) -> P:
         return P("gt", (x,))
