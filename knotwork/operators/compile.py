@@ -31,16 +31,16 @@ from .frame import EDGE, EDGE_TYPE, LABEL, MIXED, PATH, PREFIX, VERTEX, Frame, K
 CUT_EVERY = 8
 
 
-def run(graph: PropertyGraph, plan: Plan) -> Frame:
-    """The frame of a whole traversal."""
+def run(graph: PropertyGraph, plan: Plan, ordered: bool = False) -> Frame:
+    """The frame of a whole traversal; ``ordered`` asks for the emission order even if no step needs it."""
     plan = rewrite(plan)
-    return Compiler(graph, plan).steps(plan, None)
+    return Compiler(graph, plan, ordered).steps(plan, None)
 
 
 class Compiler:
-    def __init__(self, graph: PropertyGraph, plan: Plan) -> None:
+    def __init__(self, graph: PropertyGraph, plan: Plan, ordered: bool = False) -> None:
         self.graph = graph
-        self.order = any(s.op in ORDERED for s in walk(plan))
+        self.order = ordered or any(s.op in ORDERED for s in walk(plan))
         self.path = any(s.op in PATHED for s in walk(plan))
 
     def steps(self, plan: Plan, frame: Frame | None) -> Frame:
@@ -212,7 +212,7 @@ class Compiler:
             if not frame.has_key(key):
                 return frame, false
             c = F.col(PREFIX + key)
-            return frame, c.isNotNull() if p is None else F.coalesce(compiled(p, c, frame.df.schema[PREFIX + key].dataType), false)
+            return frame, c.isNotNull() if p is None else compiled(p, c, frame.df.schema[PREFIX + key].dataType)
         if step.op == "hasLabel":
             for label in p.operands:
                 self.graph.registry.check_label(label, edge=kind.name == "edge")
@@ -239,7 +239,7 @@ class Compiler:
             return frame, compiled(p, F.col("v.rank"), T.IntegerType()) if kind.name == "edge" else false
         if kind.name != "scalar":
             return frame, false
-        return frame, F.coalesce(compiled(p, F.col("v"), kind.type), false)
+        return frame, compiled(p, F.col("v"), kind.type)
 
     def _boolean(self, frame: Frame, plan: Plan) -> tuple[Frame, Column] | None:
         """A sub-plan that only looks at the value, as one condition."""

@@ -350,10 +350,10 @@ class Traversal:
         """Which properties result elements carry: all without arguments; without this step none."""
         return type(self)(self._source, self._steps, _listed(keys))
 
-    def _frame(self) -> Frame:
+    def _frame(self, ordered: bool = False) -> Frame:
         if self._source is None:
             raise TraversalError("an anonymous traversal has no results of its own")
-        return self._source.run(self.steps)
+        return self._source.run(self.steps, ordered)
 
     def writes(self) -> bool:
         return any(s.op in WRITES for s in walk(self.steps))
@@ -363,19 +363,18 @@ class Traversal:
         return self._frame().flat(self._keys)
 
     def to_list(self) -> list[Any]:
+        """All results as Python objects in emission order."""
         return list(self.iter())
 
     def iter(self) -> Iterator[Any]:
-        frame = self._frame()
-        return frame.objects(self._keys)
+        return self._frame(ordered=True).objects(self._keys)
 
     def next(self) -> Any:
         """The first result, or None."""
-        frame = self._frame()
-        return next(frame.objects(self._keys, first=True), None)
+        return next(self._frame(ordered=True).objects(self._keys, first=True), None)
 
     def to_set(self) -> set[Any]:
-        return set(self.iter())
+        return set(self._frame().objects(self._keys))
 
     def iterate(self) -> None:
         """Run for the effects only."""

@@ -92,10 +92,10 @@ class GraphSource:
     def __init__(self, graph: PropertyGraph) -> None:
         self.graph = graph
 
-    def run(self, plan: tuple) -> object:
+    def run(self, plan: tuple, ordered: bool = False) -> object:
         from ..operators.compile import run
 
-        return run(self.graph, plan)
+        return run(self.graph, plan, ordered)
 
 
 def _type_name(field: T.StructField) -> str:

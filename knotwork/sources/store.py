@@ -152,10 +152,10 @@ class ReadSession:
     def g(self) -> Traversal:
         return Traversal(self)
 
-    def run(self, plan: Plan) -> Frame:
+    def run(self, plan: Plan, ordered: bool = False) -> Frame:
         if any(s.op in WRITES for s in walk(plan)):
             raise ReadOnly("a read session cannot write")
-        return run(self.graph, plan)
+        return run(self.graph, plan, ordered)
 
     def close(self) -> None:
         self.graph = None
@@ -209,13 +209,13 @@ class Transaction:
         return self.graph
 
     # traversals with writes run step by step, at once
-    def run(self, plan: Plan) -> Frame:
+    def run(self, plan: Plan, ordered: bool = False) -> Frame:
         graph = self._open()
         for step in plan:
             if any(s.op in WRITES for sub in step.subs for s in walk(sub)):
                 raise UnsupportedOperation("writes inside sub-traversals")
         if not any(s.op in WRITES for s in plan):
-            return run(graph, plan)
+            return run(graph, plan, ordered)
         frame: Frame | None = None
         reads: list[Step] = []
         for step in plan:
