@@ -145,20 +145,18 @@ def _shards(nodes: DataFrame) -> DataFrame:
 
     masks = [f for m in _finer([]) for f in _finer(m)]
     out, level = [], keyed(nodes, masks)
-    while True:
-        sizes = level.groupBy("m", "v").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        large = spool(sizes.filter(F.col("n") > SHARD_LIMIT).select("m", "v"), "large") if len(masks[0]) < 54 else None
-        if large is None or large.isEmpty():
-            out.append(level)
+    while len(masks[0]) < 54:
+        sizes = level.groupBy("m", "v").agg(F.count("*").alias("n"))
+        large = spool(sizes.filter(F.col("n") > SHARD_LIMIT).select("m", "v"), "large")
+        if large.isEmpty():
             break
         out.append(level.join(large, ["m", "v"], "left_anti"))
-        masks_of = {_signed(m): _finer(m) for m in masks}
-        crowded = level.join(large, ["m", "v"], "left_semi")
-        level = None
-        for m, finer in masks_of.items():
-            part = keyed(crowded.filter(F.col("m") == F.lit(m)).select("fp"), finer)
-            level = part if level is None else level.unionByName(part)
-        masks = [f for fs in masks_of.values() for f in fs]
+        finer = {_signed(m): _finer(m) for m in masks}
+        lookup = F.create_map(*[x for m, fs in finer.items() for x in (F.lit(m), F.array(*[F.lit(_signed(f)) for f in fs]))])
+        crowded = level.join(large, ["m", "v"], "left_semi").select("fp", F.explode(lookup[F.col("m")]).alias("m")).distinct()
+        level = spool(crowded, "crowded").select("fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
+        masks = list({tuple(f): f for fs in finer.values() for f in fs}.values())
+    out.append(level)
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
