@@ -1,0 +1,383 @@
+"""Operators on texts against brute force, with nulls, empty and long texts, repeats and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from tokenizers import Tokenizer
+
+from knotwork.llm import bpe, exact_dedup, html_extract, language_id, packing, pii, sharding, simhash, toxicity
+
+RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    base = " ".join(rng.choice(words) for _ in range(400))
+    out = [None, "", " ", "a  b\tc", "a b c", base, base + " x", base.replace(" ", "\n", 1), base.upper(), "ab" * 3000, "one", "two words", None]
+    out += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(20)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Rows with a null and a repeated identifier, and columns whose names clash with ours and with each other."""
+    rows = [(i, t, "en", "s", len(t or ""), i, "x", True) for i, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "s", 1, 0, "x", True), (None, "one", None, None, None, 0, "x", True)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fingerprint string, kept boolean"
+    frame = spark.createDataFrame(rows, names)
+    return frame.toDF("doc_id", "text", "lang", "source", "n_chars", "keep_id", "TEXT", "__run")
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_dedup(docs, nothing):
+    got = exact_dedup.exact_duplicates(docs).collect()
+    plain = [(r[0], r[1]) for r in docs.collect()]
+    groups = collections.defaultdict(list)
+    for i, t in plain:
+        groups[normal(t)].append(i)
+    want = collections.Counter()
+    for i, t in plain:
+        own = groups[normal(t)]
+        want[i, min((x for x in own if x is not None), default=None), len(own), hashlib.sha256(normal(t).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    kept = collections.Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len(groups)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert exact_dedup.exact_duplicates(nothing).count() == 0
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, nothing):
+    got = simhash.near_duplicates(docs).collect()
+    plain = [(r[0], r[1]) for r in docs.collect()]
+    prints = [brute_fingerprint(t) for _, t in plain]
+    assert collections.Counter((r.doc_id, int(r.fingerprint, 16)) for r in got) == collections.Counter((i, p) for (i, _), p in zip(plain, prints, strict=True))
+    label = {p: p for p in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in label:
+            for b in label:
+                if (a ^ b).bit_count() <= 2 and label[a] > label[b]:
+                    label[a], changed = label[b], True
+    low = {}
+    for (i, _), p in zip(plain, prints, strict=True):
+        if i is not None:
+            low[label[p]] = min(i, low.get(label[p], i))
+    assert all(r.component_id == low[label[int(r.fingerprint, 16)]] for r in got)
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_shards_lose_no_link(spark, monkeypatch):
+    """Dense clusters, and shards that are cut again, give the components of all pairs."""
+    rng = random.Random(1)
+    values = set()
+    for _ in range(6):
+        c = rng.getrandbits(64)
+        for _ in range(60):
+            v = c
+            for _ in range(rng.randint(0, 5)):
+                v ^= 1 << rng.randrange(64)
+            values.add(v)
+    values = sorted(values)
+    monkeypatch.setattr(simhash, "SHARD_LIMIT", 5)
+    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    found = simhash.components(simhash.links(nodes)).collect()
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    mask = (1 << 64) - 1
+    got = collections.defaultdict(set)
+    for v in values:
+        got[v].add(v)
+    for r in found:
+        got[r.root & mask].add(r.node & mask)
+        if r.node & mask in got:
+            got.pop(r.node & mask)
+    want = collections.defaultdict(set)
+    for v in values:
+        want[find(v)].add(v)
+    assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values()}
+
+
+def test_bk_tree_follows_only_what_can_match():
+    rng = random.Random(2)
+    values = [rng.getrandbits(16) for _ in range(500)]
+    tree = simhash.BKTree(values)
+    for q in values[:50]:
+        assert set(tree.within(q, 2)) == {v for v in values if (v ^ q).bit_count() <= 2}
+
+
+def test_bpe_matches_the_library(docs, nothing, texts):
+    coder = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("ab \n\t's1.\x85 日") for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    for t in [t or "" for t in texts] + odd + ["x" * 3000, "".join(rng.choice("abcde") for _ in range(5000))]:
+        ids = coder.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
+        assert coder.decode(ids) == t.encode()
+    raw = "".join(rng.choice("etaoin") for _ in range(200)).encode()
+    assert coder._merge_short(raw) == coder._merge_long(raw)
+    for r in bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert len(r.ids_sha256) == 64
+        if r.n_tokens == 0:
+            assert r.ids_sha256 == r.decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    row = {r.id: r for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    assert row[5].decoded == texts[5].encode()
+    assert bpe.digests(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_remembers_a_bounded_number():
+    r = bpe.Remembered(10)
+    for i in range(1000):
+        r.put(str(i), b"x")
+    assert len(r.young) + len(r.old) <= 10 and r.get("999") == b"x" and r.get("1") is None
+
+
+def check_packing(pieces, ids_of, window):
+    by, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        by[p.doc_id].append(p)
+        sequences[p.sequence_id].append(p)
+    assert set(by) == set(ids_of)
+    for i, ids in ids_of.items():
+        at = 0
+        for p in sorted(by[i], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    padding = 0
+    for ps in sequences.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= window
+        padding += 0 if at & (at - 1) == 0 else window - at
+    return padding
+
+
+def test_packing(docs, nothing):
+    unique = docs.filter("doc_id IS NOT NULL AND n_chars <> 1")
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    ids_of = {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in unique.collect()}
+    for window in (64, 1024):
+        assert check_packing(packing.pack(unique, JSON, window=window).collect(), ids_of, window) <= window
+    assert packing.pack(docs, JSON).select("doc_id").filter("doc_id = 5").count() >= 2
+    assert packing.pack(nothing, JSON).count() == 0
+
+
+def test_packing_solver_fills_windows():
+    hist = np.zeros(100, np.int64)
+    hist[[60, 40, 30, 10, 99]] = [50, 30, 20, 40, 3]
+    combos = packing.combinations(hist, 100)
+    assert all(sum(c) == 100 for c in combos)
+    counts = packing.rounded(hist, combos, packing.solve(hist, combos, 100))
+    used = np.zeros(100, np.int64)
+    for c, n in zip(combos, counts, strict=True):
+        for length in c:
+            used[length] += n
+    assert (used <= hist).all() and used.sum() >= 0.8 * hist.sum()
+
+
+def test_toxicity_learns_words_and_keeps_labels_out(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        text = [rng.choice(words) for _ in range(rng.randint(5, 60))] + (["vile", "scum"] if toxic else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), "en", "s", 0))
+        marks.append((i, 1, int(toxic)))
+    rows += [(1000, None, None, None, None), (1001, "", None, None, None), (None, "vile scum", None, None, None)]
+    marks += [(None, 1, 1), (3, None, None), (2000, 1, 1)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels).collect()}
+    held = [r for i, r in got.items() if i is not None and i < 600 and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
+    assert got[1000].score == got[1001].score and got[1000].predicted == 0
+    flipped = spark.createDataFrame([(i, q, 1 - t if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in marks], "doc_id long, quality int, toxic int")
+    again = {r.doc_id: r.score for r in toxicity.scores(docs, flipped).collect()}
+    assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
+    assert toxicity.scores(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_language_network_gradients():
+    net = language_id.Network.new(["a", "b", "c"], 4)
+    rng = np.random.default_rng(0)
+    x, labels = rng.integers(0, 256, (9, 5)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    grads, _ = language_id._gradients(net, x, labels)
+    for w, g in zip(net.weights(), grads, strict=True):
+        i = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = w[i]
+        w[i] = old + 1e-2
+        up = language_id._gradients(net, x, labels)[1]
+        w[i] = old - 1e-2
+        down = language_id._gradients(net, x, labels)[1]
+        w[i] = old
+        assert abs((up - down) / 2e-2 - g[i]) < 2e-3 + 0.02 * abs(g[i])
+
+
+def test_languages(spark):
+    rng = random.Random(6)
+    parts = {"xx": "ka lo mi tu".split(), "yy": "schr eng ung ich".split(), "zz": "éau oix ção ñer".split()}
+    rows = []
+    for i in range(300):
+        lang = "xx yy zz".split()[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 40))), lang if i % 10 else None, "s", 0))
+    rows += [(900, None, "xx", "s", 0), (901, "12 34 !", "xx", "s", 0), (902, "", None, "s", 0), (None, "schrengung ich", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    held = [r for i, r in got.items() if i is not None and i < 300 and r.held_out]
+    assert sum(r.lang_pred == "xx yy zz".split()[r.doc_id % 3] for r in held) >= 0.95 * len(held)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in language_id.identify(docs.limit(0)).collect()} == set()
+    # windows do not depend on what they share a batch with, nor on the blocks
+    net = language_id.Network.new(["a", "b"], 5)
+    texts = ["short", "x" * 1000, "", "éàü" * 77]
+    whole = language_id.document_probabilities(net, texts, 16, 8)
+    for t, p in zip(texts, whole, strict=True):
+        assert np.allclose(language_id.document_probabilities(net, [t], 16, 3)[0], p, atol=1e-5)
+
+
+def test_sharding(docs, nothing):
+    shards = ["a", "b", "c", "d"]
+    table = sharding.lookup_table(shards, 101)
+    assert set(table) == set(range(4)) and max(map(table.count, range(4))) - min(map(table.count, range(4))) <= 1
+    # by hand: shards take turns, each claims the next free slot of its own order
+    orders = [sharding._preference(s, 101) for s in shards]
+    slow, turn = {}, 0
+    while len(slow) < 101:
+        start, step = orders[turn % 4]
+        slot = next(s for k in range(101) if (s := (start + k * step) % 101) not in slow)
+        slow[slot] = turn % 4
+        turn += 1
+    assert [slow[i] for i in range(101)] == table
+    fewer = sharding.lookup_table(["a", "b", "d"], 101)
+    assert sum(shards[x] != ["a", "b", "d"][y] for x, y in zip(table, fewer, strict=True)) < 60
+    got = sharding.shard(docs, shards=shards, slots=101)
+    assert got.columns == [*docs.columns, "slot", "shard_id"]
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(table[r.slot] == r.shard_id for r in rows)
+    assert all(r.slot == int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16) % 101 for r in rows)
+    assert sharding.shard(nothing).count() == 0
+    with pytest.raises(ValueError):
+        sharding.lookup_table(shards, 100)
+
+
+def test_pii(spark, nothing):
+    texts = [
+        "Mail a.42@mail4.example.com or A.42@MAIL4.EXAMPLE.COM; b.42@mail4.example.com too", "call +1 (826) 555-7388, again +1 (826) 555-7388 or +1 (826) 555-7389",
+        "ip 152.143.123.131### and 1.2.3.4.", "card 4785380592391139$$$ and 4111 1111 1111 1111 x", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###',
+        "Mr. John Smith met Mrs Mary Jones. Госпожа Анна Иванова.", "iban DE89 3704 0044 0532 0130 00, ssn 123-45-6789.", "nothing here 12 34", None, "", "x" * 100_000 + "@",
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).withColumnRenamed("lang", "entities")
+    out = pii.replace(docs)
+    assert out.columns == [*docs.columns, "entities"]
+    got = {r[0]: (r[1], r[5]) for r in out.collect()}
+    assert [got[i][1] for i in range(len(texts))] == [3, 3, 2, 2, 1, 3, 2, 0, 0, 0, 0]
+    for i in (7, 8, 9, 10):
+        assert got[i][0] == texts[i]
+    private = "a.42@mail4 555-7388 152.143.123.131 4785380592391139 4111 24be64439e John Smith Анна 3704 123-45-6789".split(" ")
+    assert not any(p in (t or "") for p in private[:6] for t, _ in got.values())
+    first, upper, other = re.findall(r"\S+@\S+?(?=[; ]|$)", got[0][0])
+    assert upper == first.upper() and other != first and first.count("@") == 1
+    phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1][0])
+    assert phones[0] == phones[1] != phones[2]
+    assert all(0 <= int(x) <= 255 for ip in re.findall(r"\d+\.\d+\.\d+\.\d+", got[2][0]) for x in ip.split("."))
+
+    def luhn(d):
+        return sum((int(x) * 2 - 9 if int(x) > 4 else int(x) * 2) if k % 2 else int(x) for k, x in enumerate(reversed(d))) % 10
+
+    before, after = ([re.sub(r"\D", "", m) for m in re.findall(r"\d[\d ]{14,}\d", t)] for t in (texts[3], got[3][0]))
+    assert len(after) == 2 and [luhn(d) for d in after] == [luhn(d) for d in before]
+    name = re.match(r"Mr\. (\S+) (\S+) met Mrs (\S+) (\S+)\. Госпожа (\S+) (\S+)\.", got[5][0])
+    assert name[1] in pii.GIVEN["latin", "m"] and name[3] in pii.GIVEN["latin", "f"] and name[5] in pii.GIVEN["cyrillic", "f"]
+    assert pii.replace(nothing).count() == 0
+    assert {r[1] for r in pii.replace(docs, key="other").collect()} & {got[i][0] for i in range(7)} == set()
+
+
+def test_pii_permutation_is_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    values = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    out = [r[0] for r in values.select(pii._permuted(F.col("d"), F.lit("k"))).collect()]
+    assert len(set(out)) == 1000 and all(len(x) == 3 for x in out)
+
+
+def test_pii_collisions_are_drawn_anew(spark, monkeypatch):
+    """With a replacement that collides at first, distinct entities still end up distinct and not among the real ones."""
+    from pyspark.sql import functions as F
+
+    original = pii.surrogate
+
+    def clashing(e, key=pii.KEY, draw=0):
+        return F.lit("c@d.ee") if draw == 0 else original(e, key, draw)
+
+    monkeypatch.setattr(pii, "surrogate", clashing)
+    docs = spark.createDataFrame([(1, "a@b.cc and x@y.zz"), (2, "x@y.zz, c@d.ee")], "doc_id long, text string")
+    rows = {r.doc_id: re.findall(r"[\w.]+@[\w.]+\w", r.text) for r in pii.replace(docs).collect()}
+    assert rows[1][1] == rows[2][0] and len({*rows[1], *rows[2]}) == 3
+    assert not {"a@b.cc", "x@y.zz", "c@d.ee"} & {*rows[1], *rows[2]}
+
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>'</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>"
+    "<div class='ad'>Buy this now, it is really a very good thing to buy for all of us here</div>@@<div id='comments'><p>First comment by a reader, long enough to look like text.</p></div>"
+    "<div class='cookie-notice'>We use cookies</div><aside>Related stories</aside><form><label>Mail</label><input></form><footer>&copy; x</footer></body></html>"
+)
+BODY = "<h1>Title &amp; more</h1><p>First  paragraph\n with <b>bold</b> text &lt;here&gt; and more words.<p>Second, unclosed.<br>Line.<p>S.</p><ul><li>One</li><li>Two</li></ul>"
+TEXT = "Title & more First paragraph with bold text <here> and more words. Second, unclosed. Line. S. One Two"
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div><article class='post has-sidebar'>{}</article></div>"])
+def test_html(wrap):
+    assert html_extract.main_text(PAGE.replace("@@", wrap.replace("{}", BODY))) == TEXT
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 2), (3, None, "<p>" + "word " * 20_000, 3), (3, "u", "<p>a", 4), (None, "u", "<div><<a<b></div", 5)], "page_id long, url string, html string, text int")
+    got = html_extract.extract(pages).collect()
+    assert [(r.page_id, r.n_chars) for r in got[:4]] == [(1, 0), (2, 0), (3, 99_999), (3, 1)]
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extract(pages.limit(0)).count() == 0
