@@ -47,7 +47,7 @@ class BulkLoader:
     """load_vertices once, then load_edges, then commit; leaving before loads nothing."""
 
     def __init__(self, store: GraphStore) -> None:
-        self._store, self._began = store, time.time()
+        self._store, self._base, self._began = store, store.version, time.time()
         self._vertices: DataFrame | None = None
         self._edges: DataFrame | None = None
         self._registry = store.registry.copy()
@@ -66,8 +66,10 @@ class BulkLoader:
                 if self._registry.mode == "strict":
                     self._registry.check_key(f.name)
                 self._registry.add_property_key(f.name, self._registry.keys.get(f.name) if self._registry.type_of(f.name) == f.dataType else _type_name(f))
-        labels = [r[0] for r in df.select("label").distinct().limit(100_000).collect()]
-        for label in sorted(labels):
+
+    def _labels(self, df: DataFrame, edge: bool) -> None:
+        """Register the labels of a frame that is written out already."""
+        for label in sorted(r[0] for r in df.select("label").distinct().collect()):
             self._registry.write_label(label, edge)
 
     def load_vertices(self, vertices: DataFrame) -> BulkLoader:
@@ -75,6 +77,7 @@ class BulkLoader:
             raise IncompleteLoad("vertices are loaded once")
         self._names(vertices, VERTEX_COLUMNS, edge=False)
         vertices = spool(vertices.withColumn("id", F.col("id").cast("bigint")))
+        self._labels(vertices, edge=False)
         if not vertices.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty():
             raise DuplicateVertex("an id is null or occurs more than once")
         self._vertices = vertices
@@ -88,16 +91,19 @@ class BulkLoader:
         self._names(edges, EDGE_COLUMNS, edge=True)
         if self._registry.edge_mode == "single":
             edges = edges.withColumn("rank", F.lit(0))
-        else:
-            edges = assign_ranks(edges)
         edges = spool(edges.withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint")}))
-        if not edges.groupBy(*EDGE_COLUMNS).count().where("count > 1").isEmpty():
+        self._labels(edges, edge=True)
+        if not edges.where("rank IS NULL").isEmpty():
+            edges = spool(assign_ranks(edges))
+        every = edges if self._edges is None else self._edges.unionByName(edges, allowMissingColumns=True)
+        if not every.groupBy(*EDGE_COLUMNS).count().where("count > 1").isEmpty():
             raise DuplicateEdge("an edge occurs more than once")
         if not edges.where(f"rank NOT BETWEEN 0 AND {MAX_RANK}").isEmpty():
             raise SchemaViolation(f"a rank is outside 0 to {MAX_RANK}")
-        if not dangling(self._vertices, edges).isEmpty():
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        if not ends.join(self._vertices, "id", "left_anti").isEmpty():
             raise SchemaViolation("an edge ends at a vertex that is not loaded")
-        self._edges = edges if self._edges is None else self._edges.unionByName(edges, allowMissingColumns=True)
+        self._edges = every
         return self
 
     def commit(self) -> LoadStats:
@@ -106,6 +112,6 @@ class BulkLoader:
         edges = self._edges
         if edges is None:
             edges = self._vertices.sparkSession.createDataFrame([], "src long, label string, dst long, rank int")
-        files = self._store.write(PropertyGraph(self._vertices, edges, self._registry), self._store.version)
+        files = self._store.write(PropertyGraph(self._vertices, edges, self._registry), self._base)
         version = self._store.open()
         return LoadStats(version.vertices.count(), version.edges.count(), files, time.time() - self._began)
