@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import Remembered, pick, worker_cache
 
-#: Pieces whose ids a worker remembers; more pieces are encoded anew.
-CACHE = 400_000
+#: Stretches of text whose ids a worker remembers, and twice the tokens; others are encoded anew.
+CACHE = 1_000_000
+#: Bytes of a pre-token up to which a bucket is one bitmap of positions.
+SHORT = 256
 #: A space beside other white space (or at the end after it), where words cannot be cut apart.
 CLOSE_SPACE = re.compile(r"\s (?:\s|\Z)|  ")
 
@@ -40,7 +42,7 @@ class RankQueue:
         self.low = [0] * ((size >> 6) + 1)
         self.mid = [0] * ((size >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[int]] = {}  # heaps of positions
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
@@ -83,7 +85,7 @@ class Codec:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.queue = RankQueue(len(self.pieces))
-        self.cache: dict[str, bytes] = {}
+        self.stretches, self.tokens = Remembered(CACHE), Remembered(CACHE // 2)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -92,10 +94,74 @@ class Codec:
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: always the pair of smallest rank, the leftmost first."""
-        ranks = self.ranks
-        if (whole := ranks.get(raw)) is not None:
+        if (whole := self.ranks.get(raw)) is not None:
             return [whole]
-        n = len(raw)
+        return self._merge_short(raw) if len(raw) <= SHORT else self._merge_long(raw)
+
+    def _merge_short(self, raw: bytes) -> list[int]:
+        """The queue in local variables: two levels of 256-bit words over buckets that are bitmaps of positions."""
+        get, n = self.ranks.get, len(raw)
+        end = list(range(1, n + 1))  # of the part that begins here
+        before = list(range(-1, n))
+        now = [-1] * n  # rank of the pair that begins here, -1: none
+        top, low, buckets = 0, {}, {}
+        new = []
+        for i in range(n - 1):
+            if (rank := get(raw[i : i + 2])) is not None:
+                now[i] = rank
+                new.append((rank, i))
+        while True:
+            for rank, i in new:
+                if (bucket := buckets.get(rank)) is None:
+                    buckets[rank] = 1 << i
+                    word = rank >> 8
+                    low[word] = low.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+                else:
+                    buckets[rank] = bucket | 1 << i
+            new = []
+            if not top:
+                break
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = (bucket & -bucket).bit_length() - 1
+            bucket &= bucket - 1
+            if bucket:
+                buckets[rank] = bucket
+            else:
+                del buckets[rank]
+                bits &= bits - 1
+                if bits:
+                    low[word] = bits
+                else:
+                    del low[word]
+                    top &= top - 1
+            if now[i] != rank:
+                continue  # stale
+            j = end[i]
+            k = end[i] = end[j]
+            now[j] = now[i] = -1
+            before[k] = i
+            if k < n and (rank := get(raw[i : end[k]])) is not None:
+                now[i] = rank
+                new.append((rank, i))
+            if (h := before[i]) >= 0:
+                if (rank := get(raw[h:k])) is not None:
+                    now[h] = rank
+                    new.append((rank, h))
+                else:
+                    now[h] = -1
+        out, i, ranks = [], 0, self.ranks
+        while i < n:
+            out.append(ranks[raw[i : end[i]]])
+            i = end[i]
+        return out
+
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """The same with buckets that are heaps, whose cost does not grow with the pre-token's length."""
+        n, ranks = len(raw), self.ranks
         end = list(range(1, n + 1))  # of the part that begins here; 0: no part begins here
         before = list(range(-1, n))
         push, pop, get = self.queue.push, self.queue.pop, ranks.get
@@ -116,10 +182,31 @@ class Codec:
                 push(rank, h)
         return [ranks[raw[i : end[i]]] for i in range(n) if end[i]]
 
-    def _piece(self, text: str) -> bytes:
-        """Little-endian ids of a stretch of text, without the cache."""
-        ids = [x for t in self.find(text) for x in self.merge(t.encode("utf-8"))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _token(self, token: str) -> bytes:
+        """Little-endian ids of one match of the pattern."""
+        found = self.tokens.get(token)
+        if found is None:
+            ids = self.merge(token.encode("utf-8"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            self.tokens.put(token, found)
+        return found
+
+    def _fresh(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of new stretches, each of which begins with a space that begins a pre-token.
+
+        Those with no other white space at either end are cut by the pattern in one go.
+        """
+        out = {s: b"".join(map(self._token, self.find(s))) for s in stretches if s[-1].isspace() or s[1].isspace()}
+        plain = [s for s in stretches if s not in out]
+        sizes = iter(map(len, plain))
+        left, parts, at = next(sizes, 0), [], 0
+        for token in self.find("".join(plain)):
+            parts.append(self._token(token))
+            left -= len(token)
+            if not left:
+                out[plain[at]] = b"".join(parts)
+                left, parts, at = next(sizes, 0), [], at + 1
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -127,36 +214,30 @@ class Codec:
         A single space between other characters always begins a pre-token, so a text without close
         white space is cut there and each stretch is looked up; other texts are cut by the pattern.
         """
+        if not text:
+            return b""
         if CLOSE_SPACE.search(text):
-            stretches = self.find(text)
-        else:
-            first, *rest = text.split(" ")
-            stretches = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        cache, out = self.cache, []
-        for s in stretches:
-            ids = cache.get(s)
-            if ids is None:
-                ids = self._piece(s)
-                if len(s) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[s] = ids
-            out.append(ids)
-        return b"".join(out)
+            return b"".join(map(self._token, self.find(text)))
+        head, *rest = text.split(" ")
+        stretches = [" " + x for x in rest]
+        get = self.stretches.get
+        found = [get(s) for s in stretches]
+        new = list(dict.fromkeys(s for s, ids in zip(stretches, found, strict=True) if ids is None))
+        if new:
+            fresh = self._fresh(new)
+            for s, ids in fresh.items():
+                self.stretches.put(s, ids)
+            found = [fresh[s] if ids is None else ids for s, ids in zip(stretches, found, strict=True)]
+        return b"".join(map(self._token, self.find(head))) + b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
         return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker and file."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec.load(path, pattern)
-    return _CODECS[path, pattern]
+    return worker_cache(f"bpe {path} {pattern}", lambda: Codec.load(path, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,5 +71,53 @@ def small_or_shuffled(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= bound else df
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+_CACHES: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What an operator remembers in a Python worker; workers go on to other operators, whose memory it must not take.
+
+    Asking for one cache forgets all others.
+    """
+    if name not in _CACHES:
+        if _CACHES:
+            _CACHES.clear()
+            release()
+        _CACHES[name] = make()
+    return _CACHES[name]
+
+
+def forget() -> None:
+    """Forget what any operator has remembered in this worker."""
+    if _CACHES:
+        _CACHES.clear()
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that idle workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+class Remembered:
+    """A bounded dictionary of two generations: what was not asked for during the last one is forgotten."""
+
+    def __init__(self, size: int) -> None:
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) > 64:
+            return
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
