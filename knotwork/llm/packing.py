@@ -14,6 +14,7 @@ or gathered: tasks number their own tails and a bounded table of counts by task
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import CLOSE_SPACE
-from .common import pick, small_or_shuffled, spool
+from .common import Remembered, pick, release, small_or_shuffled, spool, worker_cache
 
 WINDOW = 1024
 END_ID = 0
 #: Stretches whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 500_000
 #: Combinations at most.
 COMBINATIONS = 4096
 #: Rounds of the solver.
@@ -40,15 +41,13 @@ ROUNDS = 100
 #: Full windows are numbered by task: (task + 1) * TASK_SEQUENCES and on.
 TASK_SEQUENCES = 1 << 40
 
-_ENCODERS: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
-
-
-def encoder(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    if path not in _ENCODERS:
+def encoder(path: str) -> tuple[Tokenizer, Remembered]:
+    def make() -> tuple[Tokenizer, Remembered]:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _ENCODERS[path] = tokenizer, {}
-    return _ENCODERS[path]
+        return tokenizer, Remembered(CACHE)
+
+    return worker_cache(f"packing {path}", make)
 
 
 def token_ids(text: str, path: str) -> bytes:
@@ -58,25 +57,23 @@ def token_ids(text: str, path: str) -> bytes:
     to the next such space are encoded one by one and remembered; a text with close white space
     is encoded at once.
     """
-    tokenizer, cache = encoder(path)
-
-    def fresh(s: str) -> bytes:
-        return np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-
+    tokenizer, known = encoder(path)
     if CLOSE_SPACE.search(text):
-        return fresh(text)
-    first, *rest = text.split(" ")
-    out = []
-    for s in ([first, *[" " + x for x in rest]] if first else [" " + x for x in rest]):
-        ids = cache.get(s)
-        if ids is None:
-            ids = fresh(s)
-            if len(s) <= 64:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[s] = ids
-        out.append(ids)
-    return b"".join(out)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+    head, *rest = text.split(" ")
+    stretches = [head] if head else []
+    stretches += [" " + x for x in rest]
+    found = list(map(known.get, stretches))
+    new = list(dict.fromkeys(s for s, ids in zip(stretches, found, strict=True) if ids is None))
+    if new:
+        fresh = {}
+        for s, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = e.ids
+            fresh[s] = packed = struct.pack(f"<{len(ids)}I", *ids)
+            known.put(s, packed)
+        found = [fresh[s] if ids is None else ids for s, ids in zip(stretches, found, strict=True)]
+    return b"".join(found)
 
 
 def combinations(hist: np.ndarray, window: int, most: int = COMBINATIONS) -> list[tuple[int, ...]]:
@@ -203,6 +200,7 @@ def _tokenised(rows: DataFrame, path: str, window: int, end_id: int) -> DataFram
                 [pa.array([task] * len(b["id"]), pa.int32()), b["id"], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
                 ["task", "id", "doc_tokens", "windows", "first_window", "tail", "number"],
             )
+        release()
 
     return rows.mapInArrow(run, _TAILS.format(rows.schema["id"].dataType.simpleString()))
 
