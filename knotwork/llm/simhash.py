@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, spool
+from .common import forget, pick, release, spool
 
 WORDS = 3
 SEED = 42
@@ -58,9 +58,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the signed 64-bit value of each row's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what another operator has remembered in this worker
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b["text"]), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps.view(np.int64))], ["id", "fp"])
+        release()
 
     rows = pick(docs, id=id_col, text=text_col)
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")

@@ -21,33 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import indexed, pick
+from .common import Remembered, indexed, pick, release, worker_cache
 
 #: Labelled rows to learn from at most.
 SAMPLE = 12_000
 #: Weights to broadcast at most (the largest stay): 16 bytes each.
 MAX_WEIGHTS = 1 << 18
 #: Word hashes a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 _FILTER_BITS = 20
+_COUNT_BITS = 24
+#: Features in one row on the way to the learning task, so that batches of rows stay small.
+_PART = 256
 _PAIR, _NEXT, _SKIP, _AFTER = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _WORD = re.compile(r"[^\W_]+")
-_CACHE: dict[str, int] = {}
 
 
 def features(text: str | None) -> np.ndarray:
     """The distinct 64-bit feature hashes of a whole text, sorted."""
     words = _WORD.findall((text or "").lower())
-    cache = _CACHE
+    known = worker_cache("toxicity", lambda: Remembered(CACHE))
     hashes = []
     for w in words:
-        h = cache.get(w)
+        h = known.get(w)
         if h is None:
             h = xxhash.xxh64_intdigest(w)
-            if len(w) <= 64:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[w] = h
+            known.put(w, h)
         hashes.append(h)
     h = np.array(hashes, np.uint64)
     return np.unique(np.concatenate([h, h[:-1] * _PAIR + h[1:] * _NEXT, h[:-2] * _SKIP + h[2:] * _AFTER]))
@@ -82,15 +81,21 @@ def ftrl(
     """FTRL-proximal over (feature hashes, label) rows in their order; the bias has no L1 term."""
     if not rows:
         return Model(-2.0, np.zeros(0, np.uint64), np.zeros(0))
-    # A feature of one row alone cannot pass the L1 term in a useful way and is left out.
+    # A feature of one row alone cannot pass the L1 term in a useful way and is left out; most go by a
+    # table of counts by hash bits before the exact count, which saves memory.
+    low = np.uint64((1 << _COUNT_BITS) - 1)
+    seen = np.zeros(1 << _COUNT_BITS, np.uint8)
+    for f, _ in rows:
+        bits = (f & low).astype(np.int64)
+        seen[bits] = np.minimum(seen[bits] + 1, 2)
+    rows = [(f[seen[(f & low).astype(np.int64)] > 1], y) for f, y in rows]
     keys, times = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True)
     keys = keys[times > 1]
     own = []
     for f, y in rows:
         at = np.searchsorted(keys, f)
-        at = at[(at < len(keys))]
-        f = f[: len(at)]
-        own.append((at[keys[at] == f] if len(keys) else at, y))
+        at = at[at < len(keys)]
+        own.append((at[keys[at] == f[: len(at)]].astype(np.int32), y))
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     zb = nb = 0.0
     for _ in range(epochs):
@@ -120,20 +125,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Learn from labelled rows that are not held out.
 
     Rows with a null identifier or label play no part; if an identifier has several labels, the
-    largest counts.  Without any usable row the model scores every text alike.
+    largest counts, and rows that share an identifier are learned as one.  Without any usable row the model scores every text alike.
     """
     known = pick(labels, id=id_col, y=label_col).filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t.as_py()).view(np.int64) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["o"], b["y"], pa.array(got, pa.list_(pa.int64()))], ["o", "y", "f"])
+            for o, y, t in zip(b["o"], b["y"], b["text"], strict=True):
+                f = features(t.as_py()).view(np.int64)
+                parts = [f[at : at + _PART] for at in range(0, max(1, len(f)), _PART)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([o.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["o", "y", "f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((o.as_py(), f.values.to_numpy().view(np.uint64), int(y.as_py() > 0)) for b in batches for o, y, f in zip(b["o"], b["y"], b["f"], strict=True)), key=lambda r: (r[0], r[2], len(r[1])))
-        m = ftrl([r[1:] for r in rows])
+        parts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for b in batches:
+            for o, y, f in zip(b["o"].to_pylist(), b["y"].to_pylist(), b["f"], strict=True):
+                parts.setdefault((o, int(y > 0)), []).append(f.values.to_numpy().view(np.uint64).copy())
+        m = ftrl([(np.unique(np.concatenate(parts.pop(key))), key[1]) for key in sorted(parts)])
         yield pa.RecordBatch.from_arrays([pa.array([None, *m.keys.view(np.int64).tolist()], pa.int64()), pa.array([m.bias, *m.weights.tolist()], pa.float64())], ["k", "w"])
+        release()
 
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("o"), F.col("y").cast("long").alias("y"), "text")
     got = rows.mapInArrow(found, "o long, y long, f array<long>").repartition(1).mapInArrow(learn, "k long, w double").collect()
@@ -156,6 +168,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", column: st
         for b in batches:
             scores = pa.array([m.score(features(t.as_py()), seen) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "__score"])
+        release()
 
     schema = T.StructType([*frame.schema.fields, T.StructField("__score", T.DoubleType())])
     return frame.mapInArrow(run, schema).toDF(*names, column)
