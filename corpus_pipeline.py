@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import exact_dedup, packing, pii, simhash, toxicity
+from knotwork.llm import exact_dedup, near_copies, packing, pii, simhash, toxicity
 from knotwork.llm.common import indexed, small_or_shuffled, spool
 
 #: Documents scored at or above this go.
@@ -64,8 +64,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest identifier, null ones last."""
-    found = spool(simhash.near_duplicates(docs), "components")
+    """One document of each component stays: that of the smallest identifier, null ones last.
+
+    Components are those of texts whose shingles of five words are similar to 0.8 or more.
+    """
+    found = spool(near_copies.near_duplicates(docs), "components")
     order: Column = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp"))
     best = found.groupBy("component_root").agg(F.min(order).alias("best"))
     verdicts = found.join(best, "component_root").select("doc_id", F.col("fingerprint").alias("key"), (order == F.col("best")).alias("kept"))
@@ -73,7 +76,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     def key_of(rows: DataFrame) -> DataFrame:
         at = rows.columns.index("text")
         plain = indexed(rows)
-        own = simhash.fingerprints(plain.select(F.sha2(F.coalesce(F.col(f"__c{at}"), F.lit("")), 256).alias("id"), F.col(f"__c{at}").alias("text")).distinct(), "id", "text")
+        own = near_copies.signatures(plain.select(F.sha2(F.coalesce(F.col(f"__c{at}"), F.lit("")), 256).alias("id"), F.col(f"__c{at}").alias("text")).distinct(), "id", "text")
         key = own.select(F.col("id").alias("__sha"), simhash.hexadecimal("fp").alias("__key"))
         joined = plain.withColumn("__sha", F.sha2(F.coalesce(F.col(f"__c{at}"), F.lit("")), 256)).join(key.dropDuplicates(["__sha"]), "__sha")
         return joined.select("__key", *plain.columns)
