@@ -43,48 +43,56 @@ def _packed(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, vector ids, scores) of each query's k best; ties to smaller ids; never its own id.
+    """(query ids, vector ids, scores) of each query's k best identifiers, each with its largest score; ties to smaller ids; never its own id.
 
     ``top`` bounds the absolute components; it decides the arithmetic, which is always exact.
     """
     order = np.argsort(x_ids, kind="stable")
     x, x_ids = x[order], x_ids[order]
+    # rows after the first of an identifier; where there are some, its larger score moves to the first
+    first = np.flatnonzero(np.r_[True, x_ids[1:] != x_ids[:-1]]) if len(x) else np.zeros(0, np.int64)
+    repeated = len(first) < len(x)
+    ids_of = x_ids[first] if repeated else x_ids
     reach = q.shape[1] * top * top
     kind = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else object
     if kind is object:
         q, x = q.astype(object), x.astype(object)
         for one, own in zip(q, q_ids, strict=True):
             s = [min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in x @ one]
-            at = sorted((i for i in range(len(s)) if x_ids[i] != own), key=lambda i: (-s[i], i))[:k]
-            yield np.full(len(at), own), x_ids[at], np.array([s[i] for i in at], np.int64)
+            if repeated:
+                s = [max(s[a:b]) for a, b in zip(first, [*first[1:], len(s)], strict=True)]
+            at = sorted((i for i in range(len(s)) if ids_of[i] != own), key=lambda i: (-s[i], i))[:k]
+            yield np.full(len(at), own), ids_of[at], np.array([s[i] for i in at], np.int64)
         return
     xt = np.ascontiguousarray(x.T.astype(kind))
-    n = len(x)
+    n = len(ids_of)
     last = np.arange(n - 1, -1, -1)
     none = np.iinfo(np.int64).min
     wide = reach * n >= 1 << 62
     for at in range(0, len(q), ROWS):
         ids = q_ids[at : at + ROWS]
         s = (q[at : at + ROWS].astype(kind) @ xt).astype(np.int64)
+        if repeated:
+            s = np.maximum.reduceat(s, first, axis=1)
         if wide:
             for row, own in zip(s, ids, strict=True):
-                i = np.lexsort((x_ids, -row))
-                i = i[x_ids[i] != own][:k]
-                yield np.full(len(i), own), x_ids[i], row[i]
+                i = np.lexsort((ids_of, -row))
+                i = i[ids_of[i] != own][:k]
+                yield np.full(len(i), own), ids_of[i], row[i]
             continue
         key = s * n + last  # unique: score, then smaller id
-        key[x_ids == ids[:, None]] = none
+        key[ids_of == ids[:, None]] = none
         m = min(k, n)
         i = np.argpartition(key, n - m, axis=1)[:, n - m :] if m < n else np.broadcast_to(np.arange(n), key.shape)
         good = np.take_along_axis(key, i, 1) != none
-        yield np.repeat(ids, m)[good.ravel()], x_ids[i][good], np.take_along_axis(s, i, 1)[good]
+        yield np.repeat(ids, m)[good.ravel()], ids_of[i][good], np.take_along_axis(s, i, 1)[good]
 
 
 class Bounds:
     """What the summaries say of query groups and cells; a few numbers for each pair of pivots."""
 
     def __init__(self, pivots: np.ndarray, groups: dict[int, tuple[float, float, float]], nearest: list[tuple[int, float, float]], k: int) -> None:
-        """groups: farthest query, smallest and largest squared norm; nearest: (cell, distance, squared norm)."""
+        """groups: farthest query, smallest and largest squared norm; nearest: (cell, distance, squared norm), of distinct identifiers."""
         self.pivots = pivots
         self.ids = sorted(groups)
         self.radius, self.low2, self.high2 = (np.array([groups[i][c] for i in self.ids]) for c in range(3))
@@ -150,8 +158,10 @@ def top_k(
     data = spool(rows.mapInArrow(assign, "id long, v binary, cell int, d double, n2 double"), "cells")
     queries = data.filter(F.pmod("id", F.lit(every)) == 0)
     grouped = queries.groupBy("cell").agg(F.max("d"), F.min("n2"), F.max("n2"), F.count("*")).collect()
+    # k + 1 identifiers, one of which may be a query's own; one that lies in several cells counts once
     near = Window.partitionBy("cell").orderBy("d", "id")
-    nearest = data.select("cell", "d", "n2", "id").withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect()
+    nearest = data.groupBy("id").agg(F.min(F.struct("d", "cell", "n2")).alias("x")).select("x.cell", "x.d", "x.n2", "id")
+    nearest = nearest.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect()
     bounds = Bounds(points, {r[0]: tuple(r[1:4]) for r in grouped}, [(r["cell"], r["d"], r["n2"]) for r in nearest], k)
     shared = data.sparkSession.sparkContext.broadcast(bounds)
     group_ids = np.array(bounds.ids, np.int32)
@@ -193,7 +203,8 @@ def top_k(
         return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], ["query_id", "vec_id", "score"])
 
     keys, out = ["g", "c", "b"], "g int, c long, b long, id long, v binary"
-    seeded = [F.xxhash64("id", F.lit(s)).alias("h") for s in ("vector", "query")]
+    # by row, so that an identifier of many rows is not one task; the k best identifiers of each chunk hold those of all
+    seeded = [F.xxhash64("id", F.monotonically_increasing_id(), F.lit(s)).alias("h") for s in ("vector", "query")]
     left = queries.select("id", "v", "cell", seeded[1]).mapInArrow(spread, out).groupBy(*keys)
     right = data.select("id", "v", "cell", "d", "n2", seeded[0]).mapInArrow(route, out).groupBy(*keys)
     found = left.cogroup(right).applyInArrow(solve, "query_id long, vec_id long, score long")

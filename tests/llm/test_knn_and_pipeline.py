@@ -39,6 +39,20 @@ def test_knn(spark, scale, monkeypatch):
     assert len(got) == len({tuple(r) for r in got})
 
 
+@pytest.mark.parametrize("scale", [0.125, 1.0, 2.0**18])
+def test_knn_repeated_identifiers(spark, scale):
+    rng = random.Random(2)
+    rows = [(i, [scale * rng.randint(-40, 40) for _ in range(4)]) for i in range(60)]
+    rows = rows * 2  # every row twice
+    rows += [(7, [scale * rng.randint(30, 40) for _ in range(4)]) for _ in range(40)]  # one more often than k, high scores
+    rows += [(20, [scale * rng.randint(-40, 40) for _ in range(4)]) for _ in range(30)]  # a query's own
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (6, 20):
+        got = knn_join.top_k(df, k=k, every=20, pivots=5).collect()
+        assert len(got) == 3 * k
+        assert {tuple(r) for r in got} == brute(rows, k, 20)
+
+
 def test_knn_small_and_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert knn_join.top_k(empty).count() == 0
