@@ -5,8 +5,10 @@ account numbers, social-security numbers, titled names) receive keyed, type-cons
 replacements: digits and separators keep their places, card and account check digits stay as valid as
 they were, names keep script and gender, letters their case.  Numbers and addresses go through a keyed
 permutation of their own format (a Feistel network over SHA-256), so distinct ones stay distinct;
-others draw from spaces large enough that collisions are rare.  The same entity has the same
-replacement in every document, which needs no shared state.
+others draw from spaces large enough that collisions are rare; only given names share a short list, and
+a name that collides by it gets a longer given name.  The same entity has the same replacement in every
+document, however its separators or title are written, and a surname the same one beside any given
+names; that needs no shared state.  Pronouns and names without a title are not resolved.
 
 A collision check runs over the distinct entities of all rows: a replacement that two entities share
 or that is itself an entity of the corpus is drawn anew.  Those exceptions, normally none to a few
@@ -41,6 +43,8 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+#: The assigned country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PERSON = rf"(?<!\p{{L}})(?:{'|'.join(_TITLES_M + _TITLES_F + _TITLES_X)})\.? {_NAME}(?: {_NAME}){{0,2}}"
 ENTITY = "|".join((EMAIL, SECRET, IBAN, SSN, IPV4, PHONE, CARD, PERSON))
@@ -76,15 +80,15 @@ def kind_of(e: Column) -> Column:
 
 
 def canonical(e: Column) -> Column:
-    """What equal entities have in common: letters without case, numbers without separators."""
+    """What equal entities have in common: letters without case, numbers without separators, titles without a dot."""
     return _let(kind_of(e), lambda kind: _canonical(e, kind))
 
 
 def _canonical(e: Column, kind: Column) -> Column:
     return (
         F.when(kind.isin("email", "secret"), F.lower(e))
-        .when(kind.isin("iban", "ssn", "phone", "card"), F.concat(kind, F.lit(":"), F.regexp_replace(e, "[^0-9A-Za-z]", "")))
-        .otherwise(e)
+        .when(kind.isin("iban", "ssn", "phone", "card"), F.concat(kind, F.lit(":"), F.regexp_replace(e, "[^0-9A-Za-z+]", "")))
+        .otherwise(F.regexp_replace(e, r"^(\S+?)\.? ", "$1 "))
     )
 
 
@@ -185,10 +189,14 @@ def _card_of(e: Column, digits: Column, body: Column, key: Column) -> Column:
 
 
 def _phone(e: Column, key: Column) -> Column:
-    """The country code stays; the other digits are permuted."""
-    head = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .-])", 0)
-    rest = F.substring(e, F.length(head) + 1, F.length(e))
-    return F.concat(head, _refill(rest, _permuted(_digits(rest), F.concat(key, head)), r"\d"))
+    """The country code stays, whatever separators there are; the other digits are permuted."""
+    return _let(_digits(e), lambda digits: _phone_of(e, digits, key))
+
+
+def _phone_of(e: Column, digits: Column, key: Column) -> Column:
+    head = F.when(e.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 0)).otherwise("")
+    rest = F.substring(digits, F.length(head) + 1, F.length(digits))
+    return _refill(e, F.concat(head, _permuted(rest, F.concat(key, F.when(e.startswith("+"), "+").otherwise(""), head))), r"\d")
 
 
 def _ipv4(e: Column, key: Column) -> Column:
@@ -236,32 +244,46 @@ def _one_of(values: list[str], digest: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(_number(digest, at, 8), F.lit(len(values))) + 1).cast("int"))
 
 
-def _person(e: Column, key: Column) -> Column:
-    """The title stays; given names follow its gender and the name's script."""
-    return _let(_hash(key, e), lambda digest: _let(F.regexp_extract(e, r"^\S+", 0), lambda title: _person_of(e, digest, title)))
+def _person(e: Column, own: Column, first: Column, again: bool) -> Column:
+    """The title stays; given names follow its gender and the name's script.
+
+    Surname and given names are keyed apart, so a person named with and without a given name or the
+    title's dot keeps the surname.  A later draw varies the given names; where there are none, the surname.
+    """
+    return _let(F.split(e, " "), lambda parts: _person_of(parts, own, first, again))
 
 
-def _person_of(e: Column, digest: Column, title: Column) -> Column:
-    bare = F.regexp_replace(title, r"\.$", "")
-    names = F.size(F.split(e, " ")) - 1
-    out = None
-    for script, sign in (("cyrillic", r"\p{IsCyrillic}"), ("latin", "")):
-        given = _one_of(GIVEN[script, "x"], digest, 1)
-        given = F.when(bare.isin(*_TITLES_F), _one_of(GIVEN[script, "f"], digest, 1)).when(bare.isin(*_TITLES_M), _one_of(GIVEN[script, "m"], digest, 1)).otherwise(given)
-        second = F.when(bare.isin(*_TITLES_F), _one_of(GIVEN[script, "f"], digest, 9)).when(bare.isin(*_TITLES_M), _one_of(GIVEN[script, "m"], digest, 9)).otherwise(_one_of(GIVEN[script, "x"], digest, 9))
-        surname = F.initcap(F.concat(*[_one_of(SYLLABLES[script], digest, 17 + 8 * i) for i in range(5)]))
-        full = F.when(names == 1, F.concat_ws(" ", title, surname)).when(names == 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, given, second, surname))
-        out = full if out is None else F.when(F.substring(e, F.length(title) + 1, F.length(e)).rlike(r"\p{IsCyrillic}"), out).otherwise(full)
-    return out
+def _person_of(parts: Column, own: Column, first: Column, again: bool) -> Column:
+    bare, names = F.regexp_replace(parts[0], r"\.$", ""), F.size(parts) - 1
+    female, male = bare.isin(*_TITLES_F), bare.isin(*_TITLES_M)
+
+    def given(script: str, at: int) -> Column:
+        gender = F.when(female, "f").when(male, "m").otherwise("x")
+
+        def draw(digest: Column) -> Column:
+            name = F.when(female, _one_of(GIVEN[script, "f"], digest, 1)).when(male, _one_of(GIVEN[script, "m"], digest, 1)).otherwise(_one_of(GIVEN[script, "x"], digest, 1))
+            return F.concat(name, F.lit("-"), _syllables(script, digest, 9, 4)) if again else name
+
+        return _let(_hash(own, F.lit("given"), gender, F.get(parts, F.lit(at))), draw)
+
+    def full(script: str) -> Column:
+        surname = _let(_hash(F.when(names == 1, own).otherwise(first), F.lit("surname"), F.element_at(parts, -1)), lambda digest: _syllables(script, digest, 1, 6))
+        return F.concat_ws(" ", parts[0], F.when(names > 1, given(script, 1)), F.when(names > 2, given(script, 2)), surname)
+
+    return F.when(F.array_join(F.slice(parts, 2, 3), " ").rlike(r"\p{IsCyrillic}"), full("cyrillic")).otherwise(full("latin"))
+
+
+def _syllables(script: str, digest: Column, at: int, count: int) -> Column:
+    return F.initcap(F.concat(*[_one_of(SYLLABLES[script], digest, at + 8 * i) for i in range(count)]))
 
 
 def surrogate(e: Column, key: str = KEY, draw: int = 0) -> Column:
     """The replacement of an entity under a key; later draws are others."""
-    own = F.lit(f"{key}\x1f{draw}")
-    return _let(kind_of(e), lambda kind: _surrogate(e, kind, own))
+    own, first = F.lit(f"{key}\x1f{draw}"), F.lit(f"{key}\x1f0")
+    return _let(kind_of(e), lambda kind: _surrogate(e, kind, own, first, draw > 0))
 
 
-def _surrogate(e: Column, kind: Column, own: Column) -> Column:
+def _surrogate(e: Column, kind: Column, own: Column, first: Column, again: bool) -> Column:
     return (
         F.when(kind == "email", _email(e, own))
         .when(kind == "secret", _secret(e, own))
@@ -270,7 +292,7 @@ def _surrogate(e: Column, kind: Column, own: Column) -> Column:
         .when(kind == "ipv4", _ipv4(e, own))
         .when(kind == "phone", _phone(e, own))
         .when(kind == "card", _card(e, own))
-        .otherwise(_person(e, own))
+        .otherwise(_person(e, own, first, again))
     )
 
 

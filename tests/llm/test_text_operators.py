@@ -337,6 +337,20 @@ def test_pii(spark, nothing):
     assert {r[1] for r in pii.replace(docs, key="other").collect()} & {got[i][0] for i in range(7)} == set()
 
 
+def test_pii_one_entity_has_one_surrogate(spark):
+    phones = ["+1 212 555 0100", "+12125550100", "+1-212-555-0100", "+1 (212) 555-0100", "+49 30 1234567", "+49301234567", "+353 12 345 6789", "+353123456789"]
+    people = ["Mr. John Smith", "Mr John Smith", "Mr. Smith", "Mr Smith", "Mrs Anna Smith", "Dr. Smith"]
+    people += [f"Mr {a}{b} Smith" for a in ("Ar", "Be", "Co", "Du", "El", "Fa", "Gu", "Ha") for b in ("nold", "rt", "lin", "mas", "vin")]  # more than the list of given names
+    rows = [(i, t) for i, t in enumerate([*phones, *people])]
+    got = [r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    digits = [re.sub(r"\D", "", t) for t in got[: len(phones)]]
+    assert len(set(digits[:4])) == len(set(digits[4:6])) == len(set(digits[6:])) == 1 and len(set(digits)) == 3
+    assert digits[0].startswith("1") and digits[4].startswith("49") and digits[6].startswith("353") and digits[0] != "12125550100"
+    names = [t.replace(".", "") for t in got[len(phones) :]]
+    assert names[0] == names[1] and names[2] == names[3] and len({n.split()[-1] for n in names}) == 1
+    assert len(set(names)) == len({t.replace(".", "") for t in people})
+
+
 def test_pii_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
