@@ -7,7 +7,8 @@ two-cluster threshold (iterated midpoint of the cluster means) tells content lin
 Subtrees that their tag, role, class or id marks as something else (menus, headers outside the
 article, footers, side columns, notices, adverts, forms, reader comments) never make lines.  The region is
 the smallest marked container (article or main, or else the common ancestor block) that holds most
-content text; every line of the region belongs to the article, short ones and headings too.
+content text, or the outermost around it that adds article lines only (headings, and lines that are not
+mostly links); every line of the region belongs to the article, short ones and headings too.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ OTHER_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets "
     "pagination pager skip toolbar tags copyright legal disclaimer".split()
 )
+#: Of these, words that also name an article's own parts or subjects; inside a region they say nothing.
+GENERIC = frozenset("header footer banner promotion masthead legal disclaimer copyright notice notices widget widgets tags related respond modal overlay menu skip social share sharing consent".split())
+#: Elements that a region never is: their text belongs with what surrounds them.
+PARTS = frozenset("blockquote caption dd details dir dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup address li ol p pre summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 WITHOUT = frozenset("has no with without hide".split())  # "has-sidebar" says something about the page, not what the element is
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -64,7 +70,7 @@ def _other(tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bo
             return True
         if name in ("class", "id"):
             words = [w.lower() for w in _SPLIT.split(value)]
-            known = OTHER_WORDS - {"header"} if in_region else OTHER_WORDS
+            known = OTHER_WORDS - GENERIC if in_region else OTHER_WORDS
             if any(w in known and (k == 0 or words[k - 1] not in WITHOUT) for k, w in enumerate(words)):
                 return True
     return False
@@ -80,6 +86,7 @@ class Lines(HTMLParser):
         self.region = 0  # open article and main elements
         self.parents: list[int] = [-1]
         self.marked: list[bool] = [False]
+        self.kinds: list[str] = ["html"]
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, container
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
@@ -111,6 +118,7 @@ class Lines(HTMLParser):
             self.flush()
         if tag in BLOCKS and not self.skipping and not skipped and tag != "p":
             self.parents.append(inside)
+            self.kinds.append(tag)
             self.marked.append(tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs))
             inside = len(self.parents) - 1
         if not self.skipping:
@@ -185,6 +193,15 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
+def _ancestors(parents: list[int], at: int) -> list[int]:
+    """A container and all around it, outwards."""
+    out = []
+    while at >= 0:
+        out.append(at)
+        at = parents[at]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The text of the article in a whole page; empty if there is none.
 
@@ -207,26 +224,33 @@ def main_text(html: str | None) -> str:
             at = parser.parents[at]
     if not weight[0]:
         return ""
+    inside = [_ancestors(parser.parents, at) for *_, at in lines]
     marked = [k for k in range(len(weight)) if parser.marked[k] and weight[k]]
     if marked:
-        best = max(weight[k] for k in marked)
         # the innermost marked container that holds nearly all of the best one's content
-        top = max((k for k in marked if weight[k] >= 0.9 * best), default=marked[0])
-        regions = {top}
+        top = max(marked, key=lambda k: (weight[k], -k))
+        top = max(k for k in marked if weight[k] >= 0.9 * weight[top] and top in _ancestors(parser.parents, k))
     else:
         top = 0
         while True:  # go down while one block holds nearly all content
-            below = [k for k in range(len(weight)) if parser.parents[k] == top and weight[k] >= 0.9 * weight[0]]
+            below = [k for k in range(len(weight)) if parser.parents[k] == top and weight[k] >= 0.9 * weight[0] and parser.kinds[k] not in PARTS]
             if not below:
                 break
             top = below[0]
-        regions = {top}
-    out = []
-    for (text, *_, at), good in zip(lines, content, strict=True):
-        while at >= 0 and at not in regions:
-            at = parser.parents[at]
-        if at >= 0 and (marked or top or good):
-            out.append(text)
+    # up again to the outermost ancestor (if containers are marked, a marked one) that adds article lines only
+    article = [
+        bool(good) or 2 * linked < len(text) or any(parser.kinds[k] in HEADINGS for k in up)
+        for (text, _, linked, _), good, up in zip(lines, content, inside, strict=True)
+    ]
+    clean = False
+    for k in _ancestors(parser.parents, top):
+        if not all(ok or top in up for ok, up in zip(article, inside, strict=True) if k in up):
+            break
+        if parser.marked[k] or not marked:
+            region, clean = k, True
+    if clean:
+        top = region
+    out = [text for (text, *_), good, up in zip(lines, content, inside, strict=True) if top in up and (marked or top or clean or good)]
     return " ".join(out)
 
 

@@ -389,6 +389,26 @@ def test_html(wrap):
     assert html_extract.main_text(PAGE.replace("@@", wrap.replace("{}", BODY))) == TEXT
 
 
+LONG = "A sentence of the story that goes on for quite a while, with enough words to count. " * 8
+
+
+@pytest.mark.parametrize("menu", ["", "<div><a href=x>Home page</a> <a href=y>All of the stories</a></div>"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=content><h1>Title</h1><p>Lead</p><div class=body><p>@@</p><p>@@</p></div><p>Tail</p></div>",
+        "<div class=content><h1>Title</h1><p>Lead</p><ul><li>@@</li><li>@@</li></ul><p>Tail</p></div>",
+        "<div class=content><h1>Title</h1><p>Lead</p><table><tr><td>@@</td></tr><tr><td>@@</td></tr></table><p>Tail</p></div>",
+        "<div class=content><h1>Title</h1><p>Lead</p><blockquote><p>@@</p><p>@@</p></blockquote><p>Tail</p></div>",
+        "<main><h1>Title</h1><p>Lead</p><article><p>@@</p><p>@@</p></article><p>Tail</p></main>",
+        "<article><h1>Title</h1><div class='legal widget'>Lead</div><p>@@</p><p>@@</p><p>Tail</p></article>",
+    ],
+)
+def test_html_keeps_headings_leads_and_tails(page, menu):
+    want = " ".join(["Title", "Lead", LONG.strip(), LONG.strip(), "Tail"])
+    assert html_extract.main_text(f"<html><body>{menu}{page.replace('@@', LONG)}</body></html>") == want
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 2), (3, None, "<p>" + "word " * 20_000, 3), (3, "u", "<p>a", 4), (None, "u", "<div><<a<b></div", 5)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
