@@ -21,12 +21,13 @@ from .common import pick
 
 WINDOW = 128
 HIDDEN = 12
-#: Documents a language to learn from, windows of each, their characters; languages at most (the most frequent).
+#: Documents a language to learn from, windows of each, their characters; documents in all.
 SAMPLE = 400
 WINDOWS_EACH = 3
 CHARS = 96
-LANGUAGES = 64
 SAMPLE_ALL = 8_000
+#: Documents of a language that are expected in the sample at least, however many languages there are.
+LEAST = 20
 STEPS = 300
 BATCH = 128
 TRAIN_LENGTH = 64
@@ -232,13 +233,13 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Learn from windows of rows that are not held out and have a text and a language.
 
-    Without any such row the network knows no language.
+    Every language that occurs is learned.  Without any such row the network knows none.
     """
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")) & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Network.new([], HIDDEN)
-    each = max(1, min(SAMPLE, SAMPLE_ALL // len(counts)))
+    each = max(LEAST, min(SAMPLE, SAMPLE_ALL // len(counts)))
     share = rows.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, share double")
     chance = (F.shiftrightunsigned(F.xxhash64("id", F.lit("language")), 11).cast("double")) / float(1 << 53)
     chosen = rows.join(F.broadcast(share), "lang").filter(chance < F.col("share"))

@@ -305,6 +305,13 @@ def test_sharding(docs, nothing):
         sharding.lookup_table(shards, 100)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 2)
+    rows = [(i, f"{chr(0x4E00 + i % 90)} " * 20, f"l{i % 90:02}") for i in range(90 * 12)]
+    net = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(net.languages) == [f"l{i:02}" for i in range(90)]
+
+
 def test_pii(spark, nothing):
     texts = [
         "Mail a.42@mail4.example.com or A.42@MAIL4.EXAMPLE.COM; b.42@mail4.example.com too", "call +1 (826) 555-7388, again +1 (826) 555-7388 or +1 (826) 555-7389",
