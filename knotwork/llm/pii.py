@@ -49,7 +49,7 @@ CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PERSON = rf"(?<!\p{{L}})(?:{'|'.join(_TITLES_M + _TITLES_F + _TITLES_X)})\.? {_NAME}(?: {_NAME}){{0,2}}"
 ENTITY = "|".join((EMAIL, SECRET, IBAN, SSN, IPV4, PHONE, CARD, PERSON))
 #: A text without these holds no entity and is not searched.
-HINT = rf"[@\d]|[0-9A-F]{{32}}|{'|'.join(_TITLES_M + _TITLES_F + _TITLES_X)}"
+HINT = rf"[@\d]|[0-9A-F]{{32}}|[0-9a-f]{{32}}|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA|{'|'.join(_TITLES_M + _TITLES_F + _TITLES_X)}"
 # Given names by gender and script, and syllables that surnames are made of.
 GIVEN = {
     ("latin", "m"): "Adam Albert Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Marco Nils Oscar Paul Robert Simon Thomas Victor Walter".split(),
