@@ -231,6 +231,18 @@ query("nearest_filtered", lambda g: g.V().has("cls", 3).nearest("emb", _Q, 5).wi
 query("neighbors_3", lambda g: g.V().hasLabel("item").hasId(P.lt(vid("item", 20))).as_("a").neighbors("emb", 3).to_df().select("id"),
       "SELECT o AS id FROM (SELECT b.id AS o, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.emb::DOUBLE[], b.emb::DOUBLE[]), 12) DESC, b.id) AS k FROM v a JOIN v b ON a.id <> b.id AND b.label = 'item' WHERE a.label = 'item' AND a.id < 8000000000020) WHERE k <= 3")
 
+# the same steps over whole tables
+query("flagship_two_hops_all", lambda g: customers(g).out("placed").dedup().out("contains").dedup().count(),
+      "SELECT count(DISTINCT c.dst) AS n FROM e p JOIN e c ON c.src = p.dst AND c.label = 'contains' WHERE p.label = 'placed'", "n")
+query("repeat_times3_emit_all", lambda g: g.V().hasLabel("event").repeat(__.out("next")).times(3).emit().id(),
+      "r(id, d) AS (SELECT id, 0 FROM v WHERE label = 'event' UNION ALL SELECT e.dst, d + 1 FROM r JOIN e ON e.src = r.id AND e.label = 'next' WHERE d < 3) SELECT id FROM r WHERE d > 0", "id", True)
+query("repeat_until_all", lambda g: g.V().hasLabel("event").repeat(__.out("next")).until(__.has("event_type", "purchase")).id(),
+      "r(id, stop) AS (SELECT id, FALSE FROM v WHERE label = 'event' UNION ALL SELECT e.dst, coalesce(v.event_type = 'purchase', FALSE) FROM r JOIN e ON e.src = r.id AND e.label = 'next' JOIN v ON v.id = e.dst WHERE NOT stop) SELECT id FROM r WHERE stop", "id", True)
+query("repeat_emit_if_all", lambda g: g.V().hasLabel("event").repeat(__.out("next")).times(4).emit_if(__.has("event_type", "click")).id(),
+      "r(id, d) AS (SELECT id, 0 FROM v WHERE label = 'event' UNION ALL SELECT e.dst, d + 1 FROM r JOIN e ON e.src = r.id AND e.label = 'next' WHERE d < 4) SELECT id FROM r JOIN v USING (id) WHERE d = 4 OR d > 0 AND v.event_type = 'click'", "id", True)
+# no SQL: all pairs of items; tested against brute force
+QUERIES["neighbors_3_all"] = lambda spark, folder: load(spark, folder).g().V().hasLabel("item").as_("a").neighbors("emb", 3).to_df().select("id")
+
 
 # bulk ingest
 def _line_edges(spark: SparkSession, folder: str) -> DataFrame:

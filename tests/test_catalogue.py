@@ -41,3 +41,27 @@ def test_same_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1
+
+
+WHOLE = "flagship_two_hops_all repeat_times3_emit_all repeat_until_all repeat_emit_if_all".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables_same_as_sql(spark, duck, name):
+    test_same_as_sql(spark, duck, name)
+
+
+def test_neighbors_of_all_items(spark):
+    import collections
+
+    import numpy as np
+
+    rows = [r for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding is not None]
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([8 * 10**12 + r.vec_id for r in rows])
+    want = collections.Counter()
+    for i, s in enumerate(np.round(x @ x.T, 12)):
+        s[i] = -2
+        want.update(ids[np.lexsort((ids, -s))[:3]].tolist())
+    assert collections.Counter(r[0] for r in entry_points.queries()["neighbors_3_all"](spark, FOLDER).collect()) == want
