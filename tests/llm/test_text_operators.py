@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -196,7 +197,6 @@ def check_packing(pieces, ids_of, window):
 def test_packing(docs, nothing):
     unique = docs.filter("doc_id IS NOT NULL AND n_chars <> 1")
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     ids_of = {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in unique.collect()}
     for window in (64, 1024):
         assert check_packing(packing.pack(unique, JSON, window=window).collect(), ids_of, window) <= window
@@ -204,6 +204,26 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, JSON).count() == 0
 
 
+def test_packing_ids_are_those_of_the_plain_call(monkeypatch):
+    tokenizer, rng = Tokenizer.from_file(JSON), random.Random(8)
+    odd = [None, "", " ", "a ", "  a", " a", "a\n b", "a \nb", "x<|endoftext|>y", "<|endoftext|> <|endoftext|>", "a <| b", "it's John's, we'll", "१२ ٣ Ⅷ ﬁ e\u0301 \U0001f600 \u0870", "a" * 5000]
+    odd += ["".join(rng.choice("ab \n\t's1.\x85\x1c\xa0\u3000 日é<|>") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    odd += [" ".join("".join(rng.choice("etaoinß日") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(30)]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in odd]
+    assert packing.Encoder(JSON).ranks is not None
+    for remembered, piece, ranks in ((packing.REMEMBERED, packing.SLICE, True), (1000, 500, True), (packing.REMEMBERED, packing.SLICE, False)):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        monkeypatch.setattr(packing, "SLICE", piece)
+        coder = packing.Encoder(JSON)
+        if not ranks:
+            coder.ranks = None
+        for _ in range(2):
+            ids, counts = coder.encode(pa.array(odd, pa.string()), 0)
+            at = np.cumsum(counts)
+            assert [ids[e - n : e].tolist() for e, n in zip(at, counts, strict=True)] == want
+    assert len(packing.Encoder(JSON).encode(pa.array([], pa.string()), 0)[0]) == 0
+
+
 def test_packing_solver_fills_windows():
     hist = np.zeros(100, np.int64)
     hist[[60, 40, 30, 10, 99]] = [50, 30, 20, 40, 3]
