@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import TraversalError, UnexpectedDataType, UnsupportedOperation
+from ..errors import TraversalError, UnexpectedDataType, UnsupportedOperation, VectorIndexError
 from ..functions.predicates import P, compiled, predicate
 from ..functions.values import ANY, class_of, decode_edge_id, edge_id, literal, to_any
 from ..plans.rewrite import rewrite
@@ -786,6 +786,8 @@ class Compiler:
         if not frame.has_key(key):
             return self._none(frame), F.lit(None).cast("double")
         index = self.graph.registry.indexes.get(key)
+        if index and frame.kind.name == "edge":
+            raise VectorIndexError(f"the index on {key!r} is for vertices")
         c = F.col(PREFIX + key)
         vector.check(index, len(query))
         return frame.but(df=frame.df.where(c.isNotNull())), vector.similarity(c, list(query), index.metric if index else "cosine")

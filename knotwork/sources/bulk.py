@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..errors import DuplicateEdge, DuplicateVertex, IncompleteLoad, SchemaViolation
+from ..errors import DuplicateEdge, DuplicateVertex, IncompleteLoad, SchemaViolation, VectorIndexError
 from ..functions.values import MAX_RANK
-from .graph import EDGE_COLUMNS, VERTEX_COLUMNS, PropertyGraph, _type_name
+from .graph import EDGE_COLUMNS, VERTEX_COLUMNS, declare_columns, sorted_edges
 from .spool import spool
 
 if TYPE_CHECKING:
@@ -44,41 +45,51 @@ def dangling(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class BulkLoader:
-    """load_vertices once, then load_edges, then commit; leaving before loads nothing."""
+    """load_vertices once, then load_edges, then commit; leaving before loads nothing.
+
+    Rows are written once, into the folder that the new version will name, and counted and looked at
+    on the way; checks of keys and ends read their columns back.
+    """
 
     def __init__(self, store: GraphStore) -> None:
         self._store, self._base, self._began = store, store.version, time.time()
+        self._folder = store.new_folder("data")
         self._vertices: DataFrame | None = None
         self._edges: DataFrame | None = None
+        self._pieces: dict[str, list[dict]] = {"vertices": [], "edges": []}
+        self._counts = {"vertices": 0, "edges": 0}
         self._registry = store.registry.copy()
 
     def __enter__(self) -> BulkLoader:
         return self
 
     def __exit__(self, *_: object) -> None:
-        self._vertices = self._edges = None
-
-    def _names(self, df: DataFrame, own: tuple[str, ...], edge: bool) -> None:
-        if missing := set(own) - set(df.columns):
-            raise SchemaViolation(f"the columns {sorted(missing)} are missing")
-        for f in df.schema:
-            if f.name not in own:
-                if self._registry.mode == "strict":
-                    self._registry.check_key(f.name)
-                self._registry.add_property_key(f.name, self._registry.keys.get(f.name) if self._registry.type_of(f.name) == f.dataType else _type_name(f))
-
-    def _labels(self, df: DataFrame, edge: bool) -> None:
-        """Register the labels of a frame that is written out already."""
-        for label in sorted(r[0] for r in df.select("label").distinct().collect()):
-            self._registry.write_label(label, edge)
+        if self._folder:
+            self._store.discard(self._folder)
+        self._vertices = self._edges = self._folder = None
+
+    def _stored(self, df: DataFrame, part: str, *looks: Column) -> tuple[DataFrame, dict]:
+        """A frame written and read back, and what was seen on the way."""
+        path, seen = f"{self._folder}/{part}-{len(self._pieces[part])}", Observation()
+        df.observe(seen, F.count("*").alias("n"), F.collect_set("label").alias("labels"), *looks).write.parquet(path)
+        got = seen.get
+        for label in sorted(got["labels"]):
+            self._registry.write_label(label, part == "edges")
+        self._pieces[part].append({"path": path, "schema": df.schema.json()})
+        self._counts[part] += got["n"]
+        return df.sparkSession.read.schema(df.schema).parquet(path), got
 
     def load_vertices(self, vertices: DataFrame) -> BulkLoader:
         if self._vertices is not None:
             raise IncompleteLoad("vertices are loaded once")
-        self._names(vertices, VERTEX_COLUMNS, edge=False)
-        vertices = spool(vertices.withColumn("id", F.col("id").cast("bigint")))
-        self._labels(vertices, edge=False)
-        if not vertices.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty():
+        declare_columns(self._registry, vertices, VERTEX_COLUMNS)
+        vertices = vertices.withColumn("id", F.col("id").cast("bigint"))
+        indexed = [(F.size(k) != x.dimension) | (F.col("id") < 0) for k, x in self._registry.indexes.items() if k in vertices.columns]
+        wrong = reduce(lambda a, b: a | b, indexed, F.lit(False))
+        vertices, seen = self._stored(vertices, "vertices", F.count(F.when(F.col("id").isNull(), 1)).alias("none"), F.count(F.when(wrong, 1)).alias("wrong"))
+        if seen["wrong"]:
+            raise VectorIndexError(f"{seen['wrong']} vectors have another dimension than their index, or negative ids")
+        if seen["none"] or not vertices.groupBy("id").count().where("count > 1").isEmpty():
             raise DuplicateVertex("an id is null or occurs more than once")
         self._vertices = vertices
         return self
@@ -86,20 +97,29 @@ class BulkLoader:
     def load_edges(self, edges: DataFrame) -> BulkLoader:
         if self._vertices is None:
             raise IncompleteLoad("vertices come before edges")
-        if "rank" not in edges.columns:
-            edges = edges.withColumn("rank", F.lit(None).cast("int"))
-        self._names(edges, EDGE_COLUMNS, edge=True)
-        if self._registry.edge_mode == "single":
+        single = self._registry.edge_mode == "single"
+        assigned = "rank" not in edges.columns and not single
+        if single:
             edges = edges.withColumn("rank", F.lit(0))
-        edges = spool(edges.withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint")}))
-        self._labels(edges, edge=True)
-        if not edges.where("rank IS NULL").isEmpty():
-            edges = spool(assign_ranks(edges))
+        elif assigned:
+            edges = edges.withColumn("rank", F.lit(None).cast("int"))
+        declare_columns(self._registry, edges, EDGE_COLUMNS)
+        if any(k in self._registry.indexes for k in edges.columns):
+            raise VectorIndexError("indexes are for vertices")
+        edges = edges.withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint"), "rank": F.col("rank").cast("int")})
+        if not single:
+            if not assigned:
+                edges = spool(edges)
+            if assigned or not edges.where("rank IS NULL").isEmpty():
+                edges = assign_ranks(edges)
+        odd = F.count(F.when(~F.col("rank").between(0, MAX_RANK), 1)).alias("odd")
+        edges, seen = self._stored(sorted_edges(edges), "edges", odd)
+        if seen["odd"]:
+            raise SchemaViolation(f"a rank is outside 0 to {MAX_RANK}")
         every = edges if self._edges is None else self._edges.unionByName(edges, allowMissingColumns=True)
-        if not every.groupBy(*EDGE_COLUMNS).count().where("count > 1").isEmpty():
+        # ranks that were all assigned here are distinct among themselves
+        if (self._edges is not None or not assigned) and not every.groupBy(*EDGE_COLUMNS).count().where("count > 1").isEmpty():
             raise DuplicateEdge("an edge occurs more than once")
-        if not edges.where(f"rank NOT BETWEEN 0 AND {MAX_RANK}").isEmpty():
-            raise SchemaViolation(f"a rank is outside 0 to {MAX_RANK}")
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         if not ends.join(self._vertices, "id", "left_anti").isEmpty():
             raise SchemaViolation("an edge ends at a vertex that is not loaded")
@@ -109,9 +129,7 @@ class BulkLoader:
     def commit(self) -> LoadStats:
         if self._vertices is None:
             raise IncompleteLoad("nothing is loaded")
-        edges = self._edges
-        if edges is None:
-            edges = self._vertices.sparkSession.createDataFrame([], "src long, label string, dst long, rank int")
-        files = self._store.write(PropertyGraph(self._vertices, edges, self._registry), self._base)
-        version = self._store.open()
-        return LoadStats(version.vertices.count(), version.edges.count(), files, time.time() - self._began)
+        self._store.load(self._pieces["vertices"], self._pieces["edges"], self._registry, self._base)
+        files = sum(self._store.files(p["path"]) for part in self._pieces.values() for p in part)
+        self._folder = None
+        return LoadStats(self._counts["vertices"], self._counts["edges"], files, time.time() - self._began)

@@ -98,6 +98,22 @@ class GraphSource:
         return run(self.graph, plan, ordered)
 
 
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """Adjacency reads by label and source: files and row groups are sorted by them."""
+    return edges.sortWithinPartitions("label", "src")
+
+
+def declare_columns(registry: Registry, df: DataFrame, own: tuple[str, ...]) -> None:
+    """Register a frame's property columns, or check them in strict mode; all columns of ``own`` must be there."""
+    if missing := set(own) - set(df.columns):
+        raise SchemaViolation(f"the columns {sorted(missing)} are missing")
+    for f in df.schema:
+        if f.name not in own:
+            if registry.mode == "strict":
+                registry.check_key(f.name)
+            registry.add_property_key(f.name, registry.keys.get(f.name) if registry.type_of(f.name) == f.dataType else _type_name(f))
+
+
 def _type_name(field: T.StructField) -> str:
     for name, kind in TYPES.items():
         if kind == field.dataType and name not in ("uint16", "uuid"):

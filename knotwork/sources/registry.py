@@ -52,6 +52,17 @@ class Registry:
             self, vertex_labels=list(self.vertex_labels), edge_labels=list(self.edge_labels), keys=dict(self.keys), indexes=dict(self.indexes)
         )
 
+    def merged(self, other: Registry) -> Registry:
+        """This schema with what the other declares besides; modes and indexes of the newer version."""
+        out, newer = self.copy(), other if other.version > self.version else self
+        for label in other.vertex_labels:
+            out.add_vertex_label(label)
+        for label in other.edge_labels:
+            out.add_edge_label(label)
+        for key, kind in other.keys.items():
+            out.add_property_key(key, kind)
+        return replace(out, mode=newer.mode, edge_mode=newer.edge_mode, indexes=dict(newer.indexes), version=newer.version)
+
     # names
     def label_id(self, label: str) -> int:
         """Number of an edge label; -1 if there is none."""

@@ -21,16 +21,21 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def spool(df: DataFrame) -> DataFrame:
-    """Write and read back: cuts the lineage; the files survive lost executors and go at exit."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is there goes when the driver's Python ends."""
     path = f"{folder(spark)}/knotwork-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def spool(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write and read back: cuts the lineage; the files survive lost executors and go at exit."""
+    path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
