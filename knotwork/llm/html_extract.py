@@ -2,13 +2,15 @@
 
 The standard library's parser streams a page's events.  Text gathers into lines, one for each block
 element's stretch, each with the number of tags that it holds.  A line's ratio is its characters per
-tag, with link text not counting; the ratios are smoothed with a Gaussian along the page, and a
-two-cluster threshold (iterated midpoint of the cluster means) tells content lines from the rest.
-Subtrees that their tag, role, class or id marks as something else (menus, headers outside the
-article, footers, side columns, notices, adverts, forms, reader comments) never make lines.  The region is
-the smallest marked container (article or main, or else the common ancestor block) that holds most
-content text, or the outermost around it that adds article lines only (headings, and lines that are not
-mostly links); every line of the region belongs to the article, short ones and headings too.
+tag, with link text not counting; the ratios are smoothed with a Gaussian along the page.  What tags,
+roles, classes and marked containers say of a line weighs its smoothed ratio down, and two clusters of
+the logarithms, parted at the iterated midpoint of their means, tell content lines from the rest.
+
+Containers are then gone through from the page downwards.  One whose text is mostly content lines and
+that holds no line of links besides is a region: all its lines belong to the article, headings and
+short ones too, but for lines that are weighed down and are no content.  Of any other container the
+content lines stay and the containers inside are looked at; one without content lines goes.  Scripts,
+styles, form controls and hidden elements have no text at all.
 """
 
 from __future__ import annotations
@@ -26,15 +28,21 @@ from .common import pick
 
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
+#: What is left of a line's ratio: in a menu, footer, form or the like; where a class word hints at that; outside of marked containers that hold content.
+OTHER, HINTED, OUTSIDE = 0.03, 0.3, 0.1
+#: Weight from which a line of a region stays without being content.
+PLAIN = 0.25
+#: Share of a container's text in content lines that makes it a region.
+SHARE = 0.5
+#: Clusters whose means are nearer than a factor of this are one.
+APART = 2.5
 # Element names as HTML defines them, and the words that pages name their parts by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label fieldset iframe object svg canvas "
-    "audio video map math menu dialog datalist".split()
-)
+WITHOUT_TEXT = frozenset("script style noscript template head title button select option textarea input iframe object svg canvas audio video map math datalist".split())
+SKIPPED = frozenset("nav footer aside form fieldset menu dialog".split())
 BLOCKS = frozenset(
     "address article blockquote body br caption center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main "
-    "ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "ol p pre section summary table tbody td tfoot th thead tr ul nav footer aside form fieldset menu dialog".split()
 )
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = BLOCKS - {"br", "body", "html"}
@@ -44,50 +52,67 @@ OTHER_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets "
     "pagination pager skip toolbar tags copyright legal disclaimer".split()
 )
-#: Of these, words that also name an article's own parts or subjects; inside a region they say nothing.
+#: Of these, words that also name an article's own parts or subjects: they are hints, and nothing at all inside a marked container.
 GENERIC = frozenset("header footer banner promotion masthead legal disclaimer copyright notice notices widget widgets tags related respond modal overlay menu skip social share sharing consent".split())
-#: Elements that a region never is: their text belongs with what surrounds them.
-PARTS = frozenset("blockquote caption dd details dir dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup address li ol p pre summary table tbody td tfoot th thead tr ul".split())
+#: Elements of running text, whose class words say nothing inside a marked container.
+TEXTUAL = frozenset("p span a b i em strong u s small q cite code sub sup mark abbr time label li dd dt h1 h2 h3 h4 h5 h6 td th blockquote pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 WITHOUT = frozenset("has no with without hide".split())  # "has-sidebar" says something about the page, not what the element is
+#: How the part for readers begins, and what stands above what a reader wrote.
+COMMENTS = re.compile(
+    r"\W*(?:\d+\s+|no\s+|all\s+|show\s+)?(?:reader\s+)?(?:comments?|replies|responses|thoughts\s+on|leave\s+a\s+(?:reply|comment)|what\s+readers\s+(?:say|think)|"
+    r"join\s+the\s+(?:conversation|discussion)|(?:leser)?kommentare?|antworten|commentaires?|réactions|comentarios?|respuestas)\b.{0,40}$",
+    re.IGNORECASE,
+)
+BYLINE = re.compile(r"\d{1,2}[:.]\d{2}|\b(?:19|20)\d\d\b|\b(?:ago|says|said|wrote|schrieb|sagt|vor|dit|écrit|hace|dijo|dice|escribió)\b", re.IGNORECASE)
+SHORT = 60
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
-def _other(tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bool:
-    """Whether an element's tag or attributes mark it as no part of an article."""
-    if tag in SKIPPED or tag == "header" and not in_region:
+def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element shows no text."""
+    if tag in WITHOUT_TEXT:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body"):
         return False
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "style" and "display:none" in (v or "").replace(" ", "").lower() for n, v in attrs)
+
+
+def _weight(tag: str, attrs: list[tuple[str, str | None]], marked: bool) -> float:
+    """What an element's tag and attributes leave of its lines' ratios; ``marked``: inside an article or main element."""
+    if tag in SKIPPED or tag == "header" and not marked:
+        return OTHER
+    if tag in ("html", "body", "article", "main"):
+        return 1.0
+    out = 1.0
     for name, value in attrs:
         value = value or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
         if name == "role" and value.lower() in SKIPPED_ROLES:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id"):
+            return OTHER
+        if name in ("class", "id") and not (marked and tag in TEXTUAL):
             words = [w.lower() for w in _SPLIT.split(value)]
-            known = OTHER_WORDS - GENERIC if in_region else OTHER_WORDS
-            if any(w in known and (k == 0 or words[k - 1] not in WITHOUT) for k, w in enumerate(words)):
-                return True
-    return False
+            found = {w for k, w in enumerate(words) if w in OTHER_WORDS and (k == 0 or words[k - 1] not in WITHOUT)}
+            if found - GENERIC:
+                return OTHER
+            if found and not marked:
+                out = HINTED
+    return out
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, link characters and the path of open containers."""
+    """Collects lines (text, tags, link characters, container, weight) and containers (parent, whether marked, tag and class)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, skipped, container
+        self.open: list[tuple[str, bool, int, float]] = []  # tag, without text, container, weight
         self.skipping = 0
         self.region = 0  # open article and main elements
         self.parents: list[int] = [-1]
         self.marked: list[bool] = [False]
-        self.kinds: list[str] = ["html"]
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, container
+        self.under: list[bool] = [False]  # whether it or one around it is marked
+        self.kinds: list[tuple[str, str]] = [("html", "")]  # tag and class
+        self.lines: list[tuple[str, int, int, int, float]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -97,7 +122,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.container()))
+            self.lines.append((text, self.tags, self.linked, self.container(), self.open[-1][3] if self.open else 1.0))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -113,17 +138,24 @@ class Lines(HTMLParser):
         if tag in BLOCKS and not self.skipping:
             self.flush()
         inside = self.container()
-        skipped = not self.skipping and _other(tag, attrs, self.region > 0)
-        if skipped and not self.skipping:
+        skipped = not self.skipping and _hidden(tag, attrs)
+        weight = self.open[-1][3] if self.open else 1.0
+        if not self.skipping and not skipped:
+            own = _weight(tag, attrs, self.region > 0)
+            if own < 1 and tag not in BLOCKS:
+                self.flush()
+            weight *= own
+            if tag in BLOCKS and tag != "p":
+                self.parents.append(inside)
+                self.kinds.append((tag, next((v or "" for k, v in attrs if k == "class"), "")))
+                self.marked.append(tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs))
+                self.under.append(self.marked[-1] or self.under[inside])
+                inside = len(self.parents) - 1
+        elif skipped:
             self.flush()
-        if tag in BLOCKS and not self.skipping and not skipped and tag != "p":
-            self.parents.append(inside)
-            self.kinds.append(tag)
-            self.marked.append(tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs))
-            inside = len(self.parents) - 1
         if not self.skipping:
             self.tags += 1
-        self.open.append((tag, skipped, inside))
+        self.open.append((tag, skipped, inside, weight))
         self.skipping += skipped
         self.region += tag in ("article", "main")
         self.links += tag == "a"
@@ -139,8 +171,8 @@ class Lines(HTMLParser):
 
     def _close(self, k: int) -> None:
         while len(self.open) > k:
-            tag, skipped, _ = self.open[-1]
-            if tag in BLOCKS and not self.skipping:
+            tag, skipped, _, weight = self.open[-1]
+            if not self.skipping and (tag in BLOCKS or weight < (self.open[-2][3] if len(self.open) > 1 else 1.0)):
                 self.flush()
             self.open.pop()
             self.skipping -= skipped
@@ -193,12 +225,57 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
-def _ancestors(parents: list[int], at: int) -> list[int]:
-    """A container and all around it, outwards."""
-    out = []
-    while at >= 0:
-        out.append(at)
-        at = parents[at]
+def content(scores: np.ndarray) -> np.ndarray:
+    """Which of the scores are in the upper of two clusters of their logarithms; all, where the clusters are not apart."""
+    logs = np.log(scores + 0.01 * scores.max(initial=0) + 1e-9)
+    upper = logs > threshold(logs)
+    if upper.all() or not upper.any() or logs[upper].mean() - logs[~upper].mean() < math.log(APART):
+        return np.ones(len(scores), bool)
+    return upper
+
+
+def _readers(parser: Lines) -> set[int]:
+    """Containers of what readers wrote: those that begin with such a heading, or repeat one form with a name and a time first."""
+    n = len(parser.lines)
+    begin, last = [n] * len(parser.parents), [-1] * len(parser.parents)
+    for i, line in enumerate(parser.lines):
+        begin[line[3]], last[line[3]] = min(begin[line[3]], i), i
+    for k in range(len(parser.parents) - 1, 0, -1):
+        parent = parser.parents[k]
+        begin[parent], last[parent] = min(begin[parent], begin[k]), max(last[parent], last[k])
+    first = {k: i for k, i in enumerate(begin) if i < n}
+    out: set[int] = set()
+    alike: dict[tuple, list[int]] = {}
+    for k, i in first.items():
+        text, kind = parser.lines[i][0], parser.kinds[k]
+        if k and i and len(text) <= SHORT and not parser.marked[k] and kind[0] not in TEXTUAL:
+            if COMMENTS.match(text):
+                out.add(k)
+            elif kind[0] in ("div", "section", "li") and last[k] > i and BYLINE.search(text):
+                alike.setdefault((parser.parents[k], kind), []).append(k)
+    for same in alike.values():
+        if len(same) > 1:
+            out.update(same)
+    for text, _, _, k, _ in parser.lines:  # a heading in no container but its own: it and what follows beside it
+        if len(text) <= SHORT and parser.kinds[k][0] in HEADINGS and COMMENTS.match(text):
+            out.update(c for c in first if c >= k and parser.parents[c] == parser.parents[k])
+    return out
+
+
+def weights(parser: Lines) -> np.ndarray:
+    """What tags, classes, marks and readers' parts leave of each line's ratio."""
+    lines = parser.lines
+    out = np.array([line[4] for line in lines])
+    inside = np.array([parser.under[line[3]] for line in lines])
+    if inside.any() and not inside.all():
+        sizes = np.array([max(0, len(t) - linked) for t, _, linked, _, _ in lines]) * out
+        if 2 * sizes[inside].sum() >= sizes.sum() > 0:
+            out[~inside] *= OUTSIDE
+    if readers := _readers(parser):
+        theirs: list[bool] = []
+        for k, parent in enumerate(parser.parents):
+            theirs.append(k in readers or parent >= 0 and theirs[parent])
+        out[[theirs[line[3]] for line in lines]] *= OTHER
     return out
 
 
@@ -213,45 +290,42 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    own = np.array([max(0, len(t) - linked) for t, _, linked, _ in lines], float)
-    ratios = smoothed(own / np.array([max(1, tags) for _, tags, _, _ in lines], float))
-    content = (ratios > threshold(ratios)) | (ratios == ratios.max())
-    weight = np.zeros(len(parser.parents))
-    for (text, *_, at), good in zip(lines, content, strict=True):
-        while at >= 0:
-            if good:
-                weight[at] += len(text)
-            at = parser.parents[at]
-    if not weight[0]:
+    own = np.array([max(0, len(t) - linked) for t, _, linked, _, _ in lines], float)
+    weight = weights(parser)
+    if not (own * weight).any():
         return ""
-    inside = [_ancestors(parser.parents, at) for *_, at in lines]
-    marked = [k for k in range(len(weight)) if parser.marked[k] and weight[k]]
-    if marked:
-        # the innermost marked container that holds nearly all of the best one's content
-        top = max(marked, key=lambda k: (weight[k], -k))
-        top = max(k for k in marked if weight[k] >= 0.9 * weight[top] and top in _ancestors(parser.parents, k))
-    else:
-        top = 0
-        while True:  # go down while one block holds nearly all content
-            below = [k for k in range(len(weight)) if parser.parents[k] == top and weight[k] >= 0.9 * weight[0] and parser.kinds[k] not in PARTS]
-            if not below:
-                break
-            top = below[0]
-    # up again to the outermost ancestor (if containers are marked, a marked one) that adds article lines only
-    article = [
-        bool(good) or 2 * linked < len(text) or any(parser.kinds[k] in HEADINGS for k in up)
-        for (text, _, linked, _), good, up in zip(lines, content, inside, strict=True)
-    ]
-    clean = False
-    for k in _ancestors(parser.parents, top):
-        if not all(ok or top in up for ok, up in zip(article, inside, strict=True) if k in up):
-            break
-        if parser.marked[k] or not marked:
-            region, clean = k, True
-    if clean:
-        top = region
-    out = [text for (text, *_), good, up in zip(lines, content, inside, strict=True) if top in up and (marked or top or clean or good)]
-    return " ".join(out)
+    scores = weight * smoothed(own / np.array([max(1, line[1]) for line in lines], float))
+    # a smoothed ratio has its neighbours' text in it: links beside the article take none of that
+    scores *= [1.0 if parser.under[line[3]] else o / len(line[0]) for line, o in zip(lines, own.tolist(), strict=True)]
+    good, plain = (content(scores) & (scores > 0)).tolist(), (weight >= PLAIN).tolist()
+    n = len(parser.parents)
+    size, rich, foul, noise = [0] * n, [0] * n, [False] * n, []
+    for (text, _, linked, k, _), g, p in zip(lines, good, plain, strict=True):
+        noise.append(not g and 2 * linked >= len(text) and not parser.under[k])
+        if p:
+            size[k] += len(text)
+            rich[k] += len(text) * g
+            foul[k] |= noise[-1]
+    for k in range(n - 1, 0, -1):  # containers come after their parents
+        parent = parser.parents[k]
+        size[parent] += size[k]
+        rich[parent] += rich[k]
+        foul[parent] |= foul[k]
+    dense = [r > 0 and r >= SHARE * s for r, s in zip(rich, size, strict=True)]
+    region: list[bool] = []
+    for k in range(n):
+        region.append(dense[k] and not foul[k] or k > 0 and region[parser.parents[k]])
+    kept = []
+    for (text, _, _, k, _), g, p, links in zip(lines, good, plain, noise, strict=True):
+        if region[k]:
+            keep = p or g
+        else:  # a part of running text goes with what surrounds it
+            while k and parser.kinds[k][0] in TEXTUAL:
+                k = parser.parents[k]
+            keep = g or dense[k] and p and not links
+        if keep:
+            kept.append(text)
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -442,6 +442,90 @@ def test_html_keeps_headings_leads_and_tails(page, menu):
     assert html_extract.main_text(f"<html><body>{menu}{page.replace('@@', LONG)}</body></html>") == want
 
 
+STORY = [f"Paragraph {i} of the story goes on for quite a while, with enough words in it to count as text of its own." for i in range(6)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def page(body):
+    return f"<html><body><div><a href=x>Home page</a></div>{body}<div><a href=y>Next page of this site</a></div></body></html>"
+
+
+def test_html_pages_without_marks():
+    inner = f"<div class=outer><div class=text><h2>Head</h2>{paragraphs(STORY)}</div></div>"
+    links = "<div class=more>" + "".join(f"<p><a href=z{i}>A linked headline of another story, number {i}</a></p>" for i in range(5)) + "</div>"
+    want = " ".join(["Head", *STORY])
+    assert html_extract.main_text(page(inner)) == want
+    assert html_extract.main_text(page(links + inner + links)) == want
+    flat = f"<a href=x>Home</a><h2>Head</h2>{paragraphs(STORY)}<a href=y>Next</a>"
+    assert html_extract.main_text(f"<html><body>{flat}</body></html>") == want
+
+
+def test_html_keeps_all_articles():
+    two = f"<article><h2>One</h2>{paragraphs(STORY[:3])}</article><article><h2>Two</h2>{paragraphs(STORY[3:])}</article>"
+    want = " ".join(["One", *STORY[:3], "Two", *STORY[3:]])
+    assert html_extract.main_text(page(two)) == want == html_extract.main_text(page(f"<main>{two}</main>"))
+
+
+def test_html_class_words_inside_an_article():
+    body = f"<article><h2>Head</h2><p class=reply>{STORY[0]}</p><p class='legal notice'>{STORY[1]}</p>{paragraphs(STORY[2:])}<p>See <label>the label</label> there.</p><ul class=tags><li>One</li></ul></article>"
+    assert html_extract.main_text(page(body)) == " ".join(["Head", *STORY, "See the label there.", "One"])
+    gone = "<div class=newsletter><p>Subscribe to our letter today, it is sent to all readers every week and costs nothing.</p></div>"
+    body = f"<article><h2>Head</h2>{paragraphs(STORY[:3])}{gone}{paragraphs(STORY[3:])}</article>"
+    assert html_extract.main_text(page(body)) == " ".join(["Head", *STORY])
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class=text>{}</div>"])
+@pytest.mark.parametrize(
+    "voices",
+    [
+        "<div class=voices><h3>3 Comments</h3>@@</div>", "<h3>Kommentare</h3><div class=voices>@@</div>", "<section><h3>Commentaires (3)</h3>@@</section>", "<div class=voices>@@</div>",
+    ],
+)
+def test_html_comments_under_unknown_names(wrap, voices):
+    told = "".join(f"<div class=voice><b>reader {i}, 12:0{i}</b><p>What a story this is, I have read it twice and told it to all of my friends too.</p></div>" for i in range(3))
+    body = wrap.replace("{}", f"<h2>Head</h2>{paragraphs(STORY)}") + voices.replace("@@", told)
+    assert html_extract.main_text(page(body)) == " ".join(["Head", *STORY])
+
+
+def test_html_nesting():
+    deep = "<div>" * 50_000 + paragraphs(STORY) + "</div>" * 50_000
+    assert html_extract.main_text(page(deep)) == " ".join(STORY)
+
+
+def test_html_scores_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        ratios = rng.exponential(40, n)
+        want = []
+        for i in range(n):
+            pairs = [(np.exp(-0.5 * (i - j) ** 2 / html_extract.SIGMA**2), ratios[j]) for j in range(n) if abs(i - j) <= 3 * html_extract.SIGMA]
+            want.append(sum(w * r for w, r in pairs) / sum(w for w, _ in pairs))
+        assert np.allclose(html_extract.smoothed(ratios), want)
+        logs = sorted(np.log(ratios + 0.01 * ratios.max() + 1e-9))
+        good = html_extract.content(ratios)
+        # a fixed point of the midpoint: every cut it can have lies half-way between the means of its sides
+        if good.all():
+            continue
+        low, high = logs[: n - good.sum()], logs[n - good.sum() :]
+        middle = (np.mean(low) + np.mean(high)) / 2
+        assert low[-1] <= middle + 1e-6 and high[0] >= middle - 1e-6 and np.mean(high) - np.mean(low) >= np.log(html_extract.APART)
+
+
+def test_html_ratios_decide(monkeypatch):
+    body = f"<div class=a><h2>Head</h2>{paragraphs(STORY)}</div>" + "".join(f"<div class=b{i}><p><i>x</i><b>y</b><u>{i}</u></p></div>" for i in range(8))
+    want = html_extract.main_text(page(body))
+    assert want.startswith(" ".join(["Head", *STORY])) and "xy4" not in want  # the line beside the story may be smoothed into it
+    real = html_extract.smoothed
+    rng, changed = np.random.default_rng(1), 0
+    for _ in range(20):
+        monkeypatch.setattr(html_extract, "smoothed", lambda r, sigma=1.0: rng.permutation(real(r)))
+        changed += html_extract.main_text(page(body)) != want
+    assert changed >= 15
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 2), (3, None, "<p>" + "word " * 20_000, 3), (3, "u", "<p>a", 4), (None, "u", "<div><<a<b></div", 5)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
