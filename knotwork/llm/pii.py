@@ -2,18 +2,21 @@
 
 Detected entities (e-mail addresses, telephone numbers, card numbers, IPv4 addresses, secret tokens,
 account numbers, social-security numbers, titled names) receive keyed, type-consistent
-replacements: digits and separators keep their places, card and account check digits stay as valid as
-they were, names keep script and gender, letters their case.  Numbers and addresses go through a keyed
-permutation of their own format (a Feistel network over SHA-256), so distinct ones stay distinct;
+replacements: digits and separators keep their places, the check digits of cards and accounts are
+computed anew and are as valid as they were, names keep script and gender, letters their case (but in
+e-mail addresses, which are written in capitals or not at all).  Numbers and addresses go through a
+keyed permutation of their own format (a Feistel network over SHA-256), so distinct ones stay distinct;
 others draw from spaces large enough that collisions are rare; only given names share a short list, and
 a name that collides by it gets a longer given name.  The same entity has the same replacement in every
 document, however its separators or title are written, and a surname the same one beside any given
-names; that needs no shared state.  Pronouns and names without a title are not resolved.
-
-A collision check runs over the distinct entities of all rows: a replacement that two entities share
-or that is itself an entity of the corpus is drawn anew.  Those exceptions, normally none to a few
-per million, are looked up by row; everything else is computed in place, so texts are not shuffled
-while there is no exception.
+names; that needs no shared state.  A title that says nothing of gender takes that of the same names
+under another title, where all those of the corpus agree.  Pronouns and names without a title are not
+found.
+
+A check runs over the distinct entities of all rows: a replacement that two entities share or that is
+itself an entity of the corpus is drawn anew, and names take the gender that other titles give them.
+Those exceptions, normally few, are looked up by row; everything else is computed in place, so texts
+are not shuffled while there is no exception.
 """
 
 from __future__ import annotations
@@ -80,13 +83,14 @@ def kind_of(e: Column) -> Column:
 
 
 def canonical(e: Column) -> Column:
-    """What equal entities have in common: letters without case, numbers without separators, titles without a dot."""
+    """What equal entities have in common: addresses without case, numbers without separators, titles without a dot."""
     return _let(kind_of(e), lambda kind: _canonical(e, kind))
 
 
 def _canonical(e: Column, kind: Column) -> Column:
     return (
-        F.when(kind.isin("email", "secret"), F.lower(e))
+        F.when(kind == "email", F.lower(e))
+        .when(kind == "secret", e)
         .when(kind.isin("iban", "ssn", "phone", "card"), F.concat(kind, F.lit(":"), F.regexp_replace(e, "[^0-9A-Za-z+]", "")))
         .otherwise(F.regexp_replace(e, r"^(\S+?)\.? ", "$1 "))
     )
@@ -224,42 +228,73 @@ def _email_of(e: Column, digest: Column) -> Column:
 
 
 def _secret(e: Column, key: Column) -> Column:
-    """Digits become digits or letters as hexadecimal allows; a prefix that says the maker stays."""
+    """A prefix that says the maker stays; hexadecimal stays that, other characters keep their class."""
+    return _let(F.concat(*[_hash(key, e, F.lit(str(i))) for i in range(4)]), lambda digest: _secret_of(e, digest))
+
+
+def _secret_of(e: Column, digest: Column) -> Column:
     head = F.regexp_extract(e, r"^(?:(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA)(?=[0-9A-Za-z_-]{16})", 0)
-    digest = F.concat(*[_hash(key, F.lower(e), F.lit(str(i))) for i in range(2)])
-    body = F.substring(F.repeat(digest, 8), F.lit(1), F.length(e) - F.length(head))
-    return F.concat(head, F.when(e == F.upper(e), F.upper(body)).otherwise(body))
+    body = F.substring(e, F.length(head) + 1, F.length(e))
+    letters, figures = _letters(digest, 1, 256), F.translate(digest, "abcdef", "012345")
+    mixed = _refill(_refill(_refill(body, figures, r"\d"), letters, "[a-z]"), F.upper(letters), "[A-Z]")
+    whole = F.substring(digest, F.lit(1), F.length(e))
+    return F.when(head != "", F.concat(head, mixed)).when(e == F.upper(e), F.upper(whole)).otherwise(whole)
 
 
 def _iban(e: Column, key: Column) -> Column:
-    """The country and check digits stay; digits and capitals behind them are drawn alike."""
+    """The country stays; digits and capitals behind the check digits are drawn alike, and these are as right or wrong as they were."""
+    return _let(F.regexp_replace(e, " ", ""), lambda plain: _let(_hash(key, plain), lambda digest: _iban_of(e, plain, digest)))
+
+
+def _iban_of(e: Column, plain: Column, digest: Column) -> Column:
     tail = F.substring(e, F.lit(5), F.length(e))
-    digest = _hash(key, F.regexp_replace(e, " ", ""))
     figures = F.concat(*[F.lpad(_number(digest, 1 + 12 * i).cast("string"), 12, "0") for i in range(3)])
-    mixed = _refill(tail, figures, r"\d")
-    return F.concat(F.substring(e, 1, 4), _refill(mixed, F.upper(_letters(digest, 30, 34)), "[A-Z]"))
+    drawn = _refill(_refill(tail, figures, r"\d"), F.upper(_letters(digest, 30, 34)), "[A-Z]")
+
+    def checked(after: Column) -> Column:
+        country = F.substring(e, 1, 2)
+        was = _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)))
+        rest = _mod97(F.concat(F.regexp_replace(after, " ", ""), country, F.lit("00")))
+        check = F.pmod(was - rest, F.lit(97))
+        return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), after)
+
+    return _let(drawn, checked)
+
+
+def _mod97(chars: Column) -> Column:
+    """The remainder of digits and capitals (A is 10, Z is 35) read as one number; 1 for a right account number with its head behind."""
+
+    def step(s: Column, c: Column) -> Column:
+        return F.when(c.rlike(r"\d"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97).cast("int")
+
+    return F.aggregate(F.filter(F.split(chars, ""), lambda c: c != ""), F.lit(0), step)
 
 
 def _one_of(values: list[str], digest: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(_number(digest, at, 8), F.lit(len(values))) + 1).cast("int"))
 
 
-def _person(e: Column, own: Column, first: Column, again: bool) -> Column:
-    """The title stays; given names follow its gender and the name's script.
+def _gender(title: Column) -> Column:
+    """m, f or x, of a title with or without its dot."""
+    bare = F.regexp_replace(title, r"\.$", "")
+    return F.when(bare.isin(*_TITLES_F), "f").when(bare.isin(*_TITLES_M), "m").otherwise("x")
+
+
+def _person(e: Column, own: Column, first: Column, again: bool, known: Column | None) -> Column:
+    """The title stays; given names follow its gender (or the ``known`` one) and the name's script.
 
     Surname and given names are keyed apart, so a person named with and without a given name or the
     title's dot keeps the surname.  A later draw varies the given names; where there are none, the surname.
     """
-    return _let(F.split(e, " "), lambda parts: _person_of(parts, own, first, again))
+    return _let(F.split(e, " "), lambda parts: _person_of(parts, own, first, again, known))
 
 
-def _person_of(parts: Column, own: Column, first: Column, again: bool) -> Column:
-    bare, names = F.regexp_replace(parts[0], r"\.$", ""), F.size(parts) - 1
-    female, male = bare.isin(*_TITLES_F), bare.isin(*_TITLES_M)
+def _person_of(parts: Column, own: Column, first: Column, again: bool, known: Column | None) -> Column:
+    names = F.size(parts) - 1
+    gender = _gender(parts[0]) if known is None else F.coalesce(known, _gender(parts[0]))
+    female, male = gender == "f", gender == "m"
 
     def given(script: str, at: int) -> Column:
-        gender = F.when(female, "f").when(male, "m").otherwise("x")
-
         def draw(digest: Column) -> Column:
             name = F.when(female, _one_of(GIVEN[script, "f"], digest, 1)).when(male, _one_of(GIVEN[script, "m"], digest, 1)).otherwise(_one_of(GIVEN[script, "x"], digest, 1))
             return F.concat(name, F.lit("-"), _syllables(script, digest, 9, 4)) if again else name
@@ -277,13 +312,13 @@ def _syllables(script: str, digest: Column, at: int, count: int) -> Column:
     return F.initcap(F.concat(*[_one_of(SYLLABLES[script], digest, at + 8 * i) for i in range(count)]))
 
 
-def surrogate(e: Column, key: str = KEY, draw: int = 0) -> Column:
-    """The replacement of an entity under a key; later draws are others."""
+def surrogate(e: Column, key: str = KEY, draw: int = 0, gender: Column | None = None) -> Column:
+    """The replacement of an entity under a key; later draws are others.  ``gender`` (m, f or null) goes before the title's."""
     own, first = F.lit(f"{key}\x1f{draw}"), F.lit(f"{key}\x1f0")
-    return _let(kind_of(e), lambda kind: _surrogate(e, kind, own, first, draw > 0))
+    return _let(kind_of(e), lambda kind: _surrogate(e, kind, own, first, draw > 0, gender))
 
 
-def _surrogate(e: Column, kind: Column, own: Column, first: Column, again: bool) -> Column:
+def _surrogate(e: Column, kind: Column, own: Column, first: Column, again: bool, gender: Column | None) -> Column:
     return (
         F.when(kind == "email", _email(e, own))
         .when(kind == "secret", _secret(e, own))
@@ -292,30 +327,37 @@ def _surrogate(e: Column, kind: Column, own: Column, first: Column, again: bool)
         .when(kind == "ipv4", _ipv4(e, own))
         .when(kind == "phone", _phone(e, own))
         .when(kind == "card", _card(e, own))
-        .otherwise(_person(e, own, first, again))
+        .otherwise(_person(e, own, first, again, gender))
     )
 
 
 def exceptions(texts: DataFrame, text_col: str, key: str = KEY) -> DataFrame:
-    """(entity, other): replacements drawn anew because the first draw collided.
+    """(entity, other): replacements that differ from the first draw, because that collided or lacked a known gender.
 
     Over the distinct entities of all rows: ``entity`` as written; of entities that share a
     replacement the smallest keeps it.
     """
     found = texts.select(F.explode(entities(F.col(text_col))).alias("e")).distinct()
-    known = spool(found.select("e", canonical(F.col("e")).alias("c"), surrogate(F.col("e"), key).alias("s")).withColumn("sc", canonical(F.col("s"))), "entities")
+    found = spool(found.select("e", canonical(F.col("e")).alias("c"), kind_of(F.col("e")).alias("kind")), "found")
+    # titles that leave the gender open take it from the same names under others
+    people = found.where("kind = 'person'").select("e", _gender(F.split("e", " ")[0]).alias("g"), F.regexp_replace("e", r"^\S+ ", "").alias("name"))
+    gendered = people.where("g != 'x'").groupBy("name").agg(F.min("g").alias("gender"), F.max("g").alias("other")).where("gender = other").select("name", "gender")
+    linked = people.where("g = 'x'").join(gendered, "name").select("e", "gender")
+    known = found.join(linked, "e", "left").select("e", "c", "gender", surrogate(F.col("e"), key, 0, F.col("gender")).alias("s"))
+    known = spool(known.withColumn("sc", canonical(F.col("s"))), "entities")
     real = known.select(F.col("c").alias("sc")).distinct()
     shared = known.groupBy("sc").agg(F.min("c").alias("keeps"), F.count_distinct("c").alias("n")).filter("n > 1")
-    hit = known.join(real, "sc", "left_semi").select("e", "c")
-    twice = known.join(shared, "sc").filter("c != keeps").select("e", "c")
+    hit = known.join(real, "sc", "left_semi").select("e", "c", "gender")
+    twice = known.join(shared, "sc").filter("c != keeps").select("e", "c", "gender")
     open_ = spool(hit.unionByName(twice).distinct(), "open")
+    told = known.where("gender IS NOT NULL").join(open_, "e", "left_anti").select(F.col("e").alias("entity"), F.col("s").alias("other"))
     settled = None
     for draw in range(1, DRAWS + 1):
         if open_.isEmpty():
             break
         if draw == DRAWS:
             raise RuntimeError(f"replacements still collide after {DRAWS} draws; the corpus exhausts a format")
-        tried = open_.select("e", "c", surrogate(F.col("e"), key, draw).alias("s")).withColumn("sc", canonical(F.col("s")))
+        tried = open_.select("e", "c", surrogate(F.col("e"), key, draw, F.col("gender")).alias("s")).withColumn("sc", canonical(F.col("s")))
         used = known.select(F.col("c").alias("sc")).unionByName(known.select("sc"))
         if settled is not None:
             used = used.unionByName(settled.select("sc"))
@@ -324,9 +366,7 @@ def exceptions(texts: DataFrame, text_col: str, key: str = KEY) -> DataFrame:
         good = spool(good, "settled")
         settled = good if settled is None else settled.unionByName(good)
         open_ = spool(open_.join(good.select("c").distinct(), "c", "left_anti"), "open")
-    if settled is None:
-        return known.filter(F.lit(False)).select(F.col("e").alias("entity"), F.col("s").alias("other"))
-    return settled.select(F.col("e").alias("entity"), F.col("s").alias("other"))
+    return told if settled is None else told.unionByName(settled.select(F.col("e").alias("entity"), F.col("s").alias("other")))
 
 
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, check: bool = True) -> DataFrame:
@@ -339,7 +379,7 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, check: bool
     at = names.index(text_col)
     frame = indexed(docs)
     text = F.col(f"__c{at}")
-    odd = exceptions(frame.select(text.alias("t")), "t", key) if check else None
+    odd = spool(exceptions(frame.select(text.alias("t")), "t", key), "odd") if check else None
     count = odd.count() if odd is not None else 0
     found = frame.withColumn("__found", entities(text))
     if count:
