@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spool import folder as shared_folder
+from ..sources.spool import spool
+
 #: Rows of (id) pairs up to which a counted table may be broadcast: 32 MB at 16 bytes a row.
 BROADCAST_ROWS = 2_000_000
 
@@ -33,42 +33,34 @@ def indexed(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset (tests in local mode), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
+def small_or_shuffled(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint where the counted rows are within the bound, else the frame as it is."""
+    return F.broadcast(df) if rows <= bound else df
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/knotwork-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one key from which it is hot.
+HOT = 100_000
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone by now
-        pass
+def skew_join(big: DataFrame, small: DataFrame, on: str, count: str, largest: int | None = None, hot: int | None = None) -> DataFrame:
+    """Inner join with a side that has each key once and, in the column ``count``, how many rows of ``big`` have it.
 
+    ``largest``, if known, is the largest such count.
 
-def small_or_shuffled(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the counted rows are within the bound, else the frame as it is."""
-    return F.broadcast(df) if rows <= bound else df
+    Keys of more than ``hot`` rows, which are few whatever the data (one in ``hot`` rows at most), are
+    broadcast while their number is within its bound, so that their rows stay where they are; the
+    others are shuffled.
+    """
+    hot = HOT if hot is None else hot
+    if largest is not None and largest <= hot:
+        return big.join(small, on)
+    heavy = small.filter(F.col(count) > hot)
+    n = heavy.count()
+    if not n or n > BROADCAST_ROWS // 20:
+        return big.join(small, on)
+    heavy = F.broadcast(heavy)
+    rest = big.join(heavy.select(on), on, "left_anti").join(small.filter(F.col(count) <= hot), on)
+    return big.join(heavy, on).unionByName(rest)
 
 
 _CACHES: dict[str, object] = {}

@@ -1,13 +1,20 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly, with a prefix-filter join.
-
-Texts are sets of hashed shingles.  Two sets with a similarity of at least t share one of the first
-n - ceil(t * n) + 1 shingles of each, in whatever order all sets follow; the order here puts shingles
-that are common in a sample last, so what meets under a shingle is rarely chance.  The sample decides
-the cost only, never the result.  In some turns every set is compared with one of those that it meets
-under each of its shingles; then, where sets that meet are still in different components, all such
-pairs are.  A pair is linked if the sets themselves reach t.  So the components are those of all
-pairs, and a large group that the turns have joined costs no more than its size; sets that meet
-without ever being joined are compared in pairs.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and BK-trees propose, the sets decide.
+
+Two texts whose sets of five-word shingles have a similarity of 0.8 differ in about 10 of 64 SimHash
+bits, and in up to 20 now and then.  No bits are left that all such pairs agree in and that part the
+rest, so fingerprints do not meet in shards by masks here but by the smallest shingle hashes of their
+texts: of the ``LOWEST`` smallest hashes of two sets together, each is in both sets with the
+probability of their similarity, so that two sets of similarity 0.8 meet in no shard with a probability
+of 0.2 ** 12, one in 200 million.  In a shard, a BK-tree gives the fingerprints within a radius that
+follows from the similarity (21 bits for 0.8; one pair in some ten thousand of just that similarity
+lies beyond), a comparison of the sizes and of the 32 smallest hashes rules out most others (as rarely
+a similar pair), and what is left is compared shingle by shingle, from the texts themselves.  Sets that
+are smaller than that are compared whole, within a wider radius.
+
+In some turns every text is compared with one of those that it meets in each of its shards; then, where
+texts that meet are still in different components, all such pairs are.  So a large group that the
+turns have joined costs no more than its size.  A shard of any size is cut into blocks, pairs of which
+are tasks of their own.
 """
 
 from __future__ import annotations
@@ -21,18 +28,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, release, spool
+from .common import forget, pick, release, skew_join, spool
 from .simhash import SEED, components, hexadecimal
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Texts in the sample that tells common shingles, about, and common shingles at most; both bear on cost alone.
-SAMPLE = 5000
-COMMON = 200_000
-#: Turns of one set under each shingle before all remaining pairs; bears on cost alone.
-TURNS = 4
-#: Pairs in a batch.
-PAIRS = 100_000
+#: Smallest hashes of a set by which it meets others, and by which two sets are compared at first.
+LOWEST, SKETCH = 12, 32
+#: Standard deviations that similar sets are given in their fingerprints' distance and in what their sketches share.
+DEVIATIONS = 3.8
+#: Sizes below which fingerprints stray more, and by how many bits.
+SMALL, STRAY = 64, 8
+#: Turns of one set in each shard before all remaining pairs; bears on cost alone.
+TURNS = 2
+#: Members of a block of a shard, values of a leaf of a tree, pairs in a batch.
+BLOCK, LEAF, PAIRS = 4096, 512, 100_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -51,14 +61,24 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(ends)))  # noqa: B905
 
 
+def radius_for(similarity: float) -> int:
+    """The bits of 64 within which the fingerprints of sets of that similarity are."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(64 * p + DEVIATIONS * math.sqrt(64 * p * (1 - p)))
+
+
 def signature(found: np.ndarray) -> int:
     """The unsigned 64-bit digest of a whole set."""
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def needed(n: int, similarity: float) -> int:
-    """The least overlap of a set of n with any that is similar enough."""
-    return max(1, math.ceil(similarity * n - 1e-9))
+def fingerprint(found: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of a set of hashes."""
+    raw = found.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(raw), 1 << 16):
+        ones += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -66,6 +86,30 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+class Tree:
+    """A BK-tree over 64-bit integers: children keyed by their distance to the parent's value, with leaves that are scanned."""
+
+    def __init__(self, values: np.ndarray, places: np.ndarray | None = None) -> None:
+        self.values, self.places = values, np.arange(len(values)) if places is None else places
+        self.children: dict[int, Tree] = {}
+        if len(values) > LEAF:
+            distance = np.bitwise_count(values ^ values[0])
+            if distance.any():
+                self.children = {int(d): Tree(values[distance == d], self.places[distance == d]) for d in np.unique(distance)}
+
+    def within(self, value: np.uint64, radius: int) -> np.ndarray:
+        """Places of the values at most ``radius`` bits away."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if node.children:
+                distance = int(np.bitwise_count(node.values[0] ^ value))
+                todo += [kid for d, kid in node.children.items() if abs(d - distance) <= radius]
+            else:
+                out.append(node.places[np.bitwise_count(node.values ^ value) <= radius])
+        return np.concatenate(out)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp): the signed 64-bit signature of each row's set."""
 
@@ -78,56 +122,46 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, their counts) of those in more than one text of the sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b["text"]:
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["h"])
-
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "h long")
-    counted = some.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON)
-    got = counted.toArrow()
-    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(docs, id=id_col, text=text_col).withColumn("t", F.xxhash64("text"))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(id, fp, n, s, first): a row's signature, the size of its set, the set as bytes and its prefix."""
-    rows = pick(docs, id=id_col, text=text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows.select("text"), words))
+def _summaries(rows: DataFrame, words: int) -> DataFrame:
+    """(id, t, fp, n, print, low): a row's text hash, its set's signature, size, SimHash and smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        common, counts = shared.value
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
-                fps, sizes, raw, first = [], [], [], []
-                for t in b["text"]:
-                    s = shingles(t.as_py(), words)
-                    fps.append(signature(s))
-                    sizes.append(len(s))
-                    raw.append(s.tobytes())
-                    rank = np.zeros(len(s), np.int64)
-                    if len(common):
-                        i = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        rank = np.where(common[i] == s, counts[i], 0)
-                    first.append(s[np.argsort(rank, kind="stable")[: len(s) - needed(len(s), similarity) + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [b["id"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                    ["id", "fp", "n", "s", "first"],
-                )
+        for b in batches:
+            fps, sizes, prints, low = [], [], [], []
+            for t in b["text"]:
+                s = shingles(t.as_py(), words)
+                fps.append(signature(s))
+                sizes.append(len(s))
+                prints.append(fingerprint(s))
+                low.append(s[:SKETCH].view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, prints)]
+            yield pa.RecordBatch.from_arrays(
+                [b["id"], b["t"], signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(low, pa.list_(pa.int64()))], ["id", "t", "fp", "n", "print", "low"]
+            )
         release()
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, n int, s binary, first array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t long, fp long, n int, print long, low array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets, made again from the texts, are similar enough."""
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = rows.select("t", "text").join(nodes.join(wanted, "fp", "left_semi").select("t"), "t", "left_semi").dropDuplicates(["t"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), words) for t in b["text"]]
+            fps = np.fromiter(map(signature, sets), np.uint64, len(sets))
+            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "s"])
+
+    sets = spool(texts.select("text").mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,41 +174,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _stars(entries: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): under each shingle one set, another in every turn, with those of other components and a size that allows it."""
+def _stars(entries: DataFrame, turn: int, similarity: float, largest: int) -> DataFrame:
+    """(a, b): in each shard one text, another in every turn, with those of other components that may be similar."""
     order = F.col("fp") if turn == 0 else F.xxhash64("fp", "h", F.lit(turn))
-    one = entries.groupBy("h").agg(F.min(F.struct(order.alias("o"), "fp", "n", "root")).alias("b"), F.min("root").alias("r"), F.max("root").alias("t"))
-    both = entries.join(one.filter("r != t").select("h", "b"), "h")
+    one = entries.groupBy("h").agg(F.min(F.struct(order.alias("o"), "fp", "n", "print", "root")).alias("b"), F.min("root").alias("r"), F.max("root").alias("top"), F.count("*").alias("many"))
+    both = skew_join(entries, one.filter("r != top").select("h", "b", "many"), "h", "many", largest)
     fits = F.least("n", "b.n") >= similarity * F.greatest("n", "b.n") - 1e-9
-    return both.filter((F.col("root") != F.col("b.root")) & fits).select(F.greatest("fp", "b.fp").alias("a"), F.least("fp", "b.fp").alias("b")).distinct()
+    near = F.bit_count(F.col("print").bitwiseXOR(F.col("b.print"))) <= radius_for(similarity) + F.when(F.least("n", "b.n") < SMALL, STRAY).otherwise(0)
+    return both.filter((F.col("root") != F.col("b.root")) & fits & near).select(F.greatest("fp", "b.fp").alias("a"), F.least("fp", "b.fp").alias("b")).distinct()
 
 
-def _pairs_apart(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs of each list ``m`` of (fp, n, root) with different roots and sizes that allow it."""
+def _blocks(entries: DataFrame, largest: int) -> DataFrame:
+    """Rows (left, right: arrays of members): pairs of blocks of the shards whose members are in several components."""
+    sizes = entries.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("top"), F.count("*").alias("many")).filter("r != top")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    rows = skew_join(entries, sizes.select("h", "many"), "h", "many", largest)
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    # a block meets itself and each other once: it goes to its pairs on one side or the other
+    pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))))
+    rows = rows.select("h", pair.alias("p"), own.alias("o"), F.struct("fp", "n", "print", "root", "low").alias("m"))
+    return rows.groupBy("h", "p").agg(
+        F.collect_list(F.when(F.col("o") == F.col("p.i"), F.col("m"))).alias("left"), F.collect_list(F.when((F.col("o") == F.col("p.j")) & (F.col("p.i") != F.col("p.j")), F.col("m"))).alias("right")
+    )
+
+
+def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFrame:
+    """(a, b): the pairs of each shard with different roots that may be similar, by a BK-tree of each block."""
+    radius = radius_for(similarity)
+
+    def fields(member: pa.Array) -> tuple[np.ndarray, ...]:
+        plain = [member.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "print", "root")]
+        return (*plain[:2], plain[2].view(np.uint64), plain[3], member.field("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
-            for m in batch["m"]:
-                inner = m.values
-                fp, n, root = (inner.field(c).to_numpy() for c in ("fp", "n", "root"))
-                roots, where, sizes = np.unique(root, return_inverse=True, return_counts=True)
-                # those of the largest component are not compared with one another
-                last = where == sizes.argmax()
-                order = np.argsort(last, kind="stable")
-                fp, n, where = fp[order], n[order], where[order]
-                for i in range(int((~last).sum())):
-                    small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-                    other = fp[i + 1 :][(where[i + 1 :] != where[i]) & (small >= similarity * large - 1e-9)]
-                    if len(other):
+            for left, right in zip(batch["left"], batch["right"], strict=True):
+                alone = not len(right)
+                fp, n, bits, root, low = fields(left.values)
+                ofp, on, obits, oroot, olow = fields((left if alone else right).values)
+                tree = Tree(obits)
+                sets, osets = low.to_pylist(), olow.to_pylist()
+                for i in range(len(fp)):
+                    at = tree.within(bits[i], radius + STRAY * int(n[i] < SMALL / similarity))
+                    small, large = np.minimum(n[i], on[at]), np.maximum(n[i], on[at])
+                    at = at[(oroot[at] != root[i]) & (small >= similarity * large - 1e-9)]
+                    if alone:
+                        at = at[at > i]
+                    at = [k for k in at.tolist() if alike(sets[i], osets[k], similarity)]
+                    if at:
+                        other = ofp[at]
                         held.append(np.stack([np.maximum(other, fp[i]), np.minimum(other, fp[i])]))
-                        many += len(other)
+                        many += len(at)
                     if many >= PAIRS:
                         yield _batch(held)
                         held, many = [], 0
         yield _batch(held)
 
-    return met.select("m").mapInArrow(run, "a long, b long").distinct()
+    return _blocks(entries, largest).select("left", "right").mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(a: list[int], b: list[int], similarity: float) -> bool:
+    """Whether the smallest hashes (unsigned, in order) of two sets have enough in common: of small sets all are compared, exactly."""
+    if len(a) < SKETCH and len(b) < SKETCH:
+        both = len(set(a).intersection(b))
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+    least = sorted({x & 0xFFFFFFFFFFFFFFFF for x in a} | {x & 0xFFFFFFFFFFFFFFFF for x in b})[:SKETCH]
+    own, other = ({x & 0xFFFFFFFFFFFFFFFF for x in s} for s in (a, b))
+    share = similarity * len(least) - DEVIATIONS * math.sqrt(similarity * (1 - similarity) * len(least))
+    return sum(x in own and x in other for x in least) >= share
 
 
 def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -186,38 +254,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint, component_id, component_root for each row, as ``simhash.near_duplicates`` has them.
 
     The fingerprint is the signature of the row's set; sets are linked if their similarity reaches
-    ``similarity``.  Texts without a word have equal sets.
+    ``similarity``.  Texts without a word have equal sets.  Repeated rows each get a row; an empty table
+    gives an empty result; other columns play no part.
     """
-    rows = spool(_sets(docs, id_col, text_col, words, similarity), "sets")
-    nodes = spool(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("first").alias("first")), "nodes")
-    sets = rows.select("fp", "s").dropDuplicates(["fp"])
-    entries = nodes.select("fp", "n", F.explode("first").alias("h"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").select("h")
-    entries = spool(entries.join(shared, "h"), "entries")
-    rooted = nodes.select("fp", "low", F.col("fp").alias("root"))
+    texts = _texts(docs, id_col, text_col)
+    rows = spool(_summaries(texts, words), "summaries")
+    nodes = rows.groupBy("fp").agg(F.count("*").alias("rows"), F.min("id").alias("low_id"), F.min(F.struct("t", "n", "print", "low")).alias("x"))
+    nodes = spool(nodes.select("fp", "rows", "low_id", "x.t", "x.n", "x.print", "x.low"), "nodes")
+    entries = nodes.select("fp", "n", "print", F.explode(F.slice("low", 1, LOWEST)).alias("h"))
+    shared = entries.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1")
+    shared = spool(shared, "shared")
+    largest = shared.agg(F.max("many")).first()[0] or 0
+    entries = spool(skew_join(entries, shared, "h", "many", largest).drop("many"), "entries")
+    rooted = nodes.select("fp", "low_id", "rows", F.col("fp").alias("root"))
     tried = linked = None
     for turn in range(TURNS):
-        stars = _stars(entries.join(rooted.select("fp", "root"), "fp"), turn, similarity)
+        stars = _stars(entries.join(rooted.select("fp", "root"), "fp"), turn, similarity, largest)
         stars = spool(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
-        found = spool(_verified(stars, sets, similarity), "linked")
+        found = spool(_verified(stars, nodes, texts, words, similarity), "linked")
         tried = stars if tried is None else tried.unionByName(stars)
         if found.isEmpty():
             break
         linked = found if linked is None else linked.unionByName(found)
         rooted = _rooted(nodes, linked)
-    met = entries.join(rooted.select("fp", "root"), "fp").groupBy("h")
-    met = met.agg(F.collect_list(F.struct("fp", "n", "root")).alias("m"), F.min("root").alias("r"), F.max("root").alias("t")).filter("r != t")
-    rest = spool(_pairs_apart(met, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
-    found = spool(_verified(rest, sets, similarity), "linked")
+    members = entries.join(rooted.select("fp", "root"), "fp").join(nodes.select("fp", "low"), "fp")
+    rest = spool(_pairs_apart(members, similarity, largest).join(tried, ["a", "b"], "left_anti"), "rest")
+    found = spool(_verified(rest, nodes, texts, words, similarity), "linked")
     if not found.isEmpty():
         rooted = _rooted(nodes, found if linked is None else linked.unionByName(found))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
-    out = rows.select("id", "fp").join(named, "fp")
+    lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count("*").alias("many"))
+    named = skew_join(rooted.select("fp", "root", "rows"), lowest, "root", "many").select("fp", "root", "rows", "component_id")
+    out = skew_join(rows.select("id", "fp"), named, "fp", "rows")
     return out.select(F.col("id").alias("doc_id"), hexadecimal("fp").alias("fingerprint"), "component_id", hexadecimal("root").alias("component_root"))
 
 
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes with the column ``root``, the smallest of their component."""
+    """(fp, low_id, rows, root): the nodes with the smallest of their component."""
     stars = components(edges)
-    return spool(nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    own = nodes.select("fp", "low_id", "rows").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
+    return spool(own.withColumn("root", F.coalesce("root", "fp")), "rooted")

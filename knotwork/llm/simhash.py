@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, release, spool
+from .common import forget, pick, release, skew_join, spool
 
 WORDS = 3
 SEED = 42
@@ -186,9 +186,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = spool(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("many"))
         # large star: every larger neighbour of a node is linked to the smallest
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+        # the hub of a star may have most edges
+        large = skew_join(both.filter("b > a"), low, "a", "many", 2 * edges.count()).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
         # small star: every smaller neighbour and the node itself are linked to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
@@ -202,21 +203,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, component_root.
 
+    Without ``similarity``, fingerprints within RADIUS bits are linked; with it, texts whose sets of
+    shingles are that similar (see ``near_copies``, where fingerprints only propose).
+
     A null or empty text has fingerprint zero, which is linked like any other.  ``component_id``
     is the smallest non-null identifier reachable; ``component_root``, one of the component's
     fingerprints, tells components apart even where identifiers repeat.  Rows that repeat an identifier each get a row;
     an empty table gives an empty result; other columns play no part.
     """
-    fps = spool(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = spool(fps.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    if similarity is not None:
+        from . import near_copies  # which uses this module
+
+        return near_copies.near_duplicates(docs, id_col, text_col, words, similarity)
+    fps = spool(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    # rows of one fingerprint are counted before they meet anything: a hot one stays where it is
+    nodes = spool(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows")), "nodes")
     stars = components(links(nodes.select("fp")))
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), hexadecimal("fp").alias("fingerprint"), "component_id", hexadecimal("root").alias("component_root"))
+    rooted = spool(rooted, "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("many"))
+    named = skew_join(rooted.select("fp", "root", "rows"), lowest, "root", "many", rooted.count())
+    largest = nodes.agg(F.max("rows")).first()[0] or 0
+    out = skew_join(fps, named.select("fp", "root", "component_id", "rows"), "fp", "rows", largest)
+    return out.select(F.col("id").alias("doc_id"), hexadecimal("fp").alias("fingerprint"), "component_id", hexadecimal("root").alias("component_root"))
 
 
 def hexadecimal(fp: str) -> Column:

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from knotwork.llm import near_copies
+from knotwork.llm import common, near_copies
 
 
 def grams(text, words):
@@ -35,9 +36,14 @@ def corpus(seed, n):
     return texts
 
 
-@pytest.mark.parametrize(("words", "similarity"), [(5, 0.8), (3, 0.6)])
-def test_components_are_those_of_all_pairs(spark, words, similarity):
+@pytest.mark.parametrize(("words", "similarity", "small"), [(5, 0.8, False), (3, 0.6, False), (5, 0.8, True)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, words, similarity, small):
     texts = corpus(3, 60)
+    if small:  # shards of many blocks, trees of many levels, hot keys
+        monkeypatch.setattr(near_copies, "BLOCK", 7)
+        monkeypatch.setattr(near_copies, "LEAF", 2)
+        monkeypatch.setattr(near_copies, "TURNS", 1)
+        monkeypatch.setattr(common, "HOT", 5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(df, words=words, similarity=similarity).collect()}
     low = list(range(len(texts)))
@@ -52,6 +58,15 @@ def test_components_are_those_of_all_pairs(spark, words, similarity):
     assert got == dict(enumerate(low))
 
 
+def test_trees_find_all_within():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 24, 3000, dtype=np.uint64)
+    tree = near_copies.Tree(values)
+    for q in values[:40]:
+        assert sorted(tree.within(q, 4)) == np.flatnonzero(np.bitwise_count(values ^ q) <= 4).tolist()
+    assert near_copies.Tree(np.zeros(2000, np.uint64)).within(np.uint64(0), 0).tolist() == list(range(2000))
+
+
 def test_stage_leaves_no_near_copies(spark, tmp_path):
     texts = corpus(4, 30)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
