@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import exact_dedup, near_copies, packing, pii, simhash, toxicity
-from knotwork.llm.common import indexed, small_or_shuffled, spool
+from knotwork.llm.common import indexed, skew_join, small_or_shuffled, spool
 
 #: Documents scored at or above this go.
 TOXIC = 0.5
@@ -47,6 +47,11 @@ def _only_kept(docs: DataFrame, verdicts: DataFrame, key_of: Callable[[DataFrame
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at ``TOXIC`` or above go; the rest, null and empty texts too, stay as they are.
+
+    The model learns from the labels of rows that ``toxicity.held_out`` leaves; without any, nothing goes.
+    Repeated rows and rows without an identifier are scored one by one, by their own text.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = docs.columns
     scored = toxicity.with_score(docs, model).toDF(*[f"__c{i}" for i in range(len(names))], "__score")
@@ -54,6 +59,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space (null and empty ones are equal) the row of the smallest identifier stays.
+
+    A row without an identifier stays only if there is no other; of rows that repeat an identifier and text, one.
+    """
     found = exact_dedup.exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept")
 
     def key_of(rows: DataFrame) -> DataFrame:
@@ -66,12 +75,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest identifier, null ones last.
 
-    Components are those of texts whose shingles of five words are similar to 0.8 or more.
+    Components are those of texts whose shingles of five words are similar to 0.8 or more; texts
+    without a word are alike.  Of rows that repeat an identifier and text, one stays.
     """
-    found = spool(near_copies.near_duplicates(docs), "components")
+    found = spool(simhash.near_duplicates(docs, words=near_copies.WORDS, similarity=near_copies.SIMILARITY), "components")
     order: Column = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp"))
-    best = found.groupBy("component_root").agg(F.min(order).alias("best"))
-    verdicts = found.join(best, "component_root").select("doc_id", F.col("fingerprint").alias("key"), (order == F.col("best")).alias("kept"))
+    best = found.groupBy("component_root").agg(F.min(order).alias("best"), F.count("*").alias("many"))
+    verdicts = skew_join(found, best, "component_root", "many", found.count()).select("doc_id", F.col("fingerprint").alias("key"), (order == F.col("best")).alias("kept"))
 
     def key_of(rows: DataFrame) -> DataFrame:
         at = rows.columns.index("text")
@@ -85,7 +95,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``n_chars``, where there is such a column, follows the text where that changed."""
+    """Entities of the text are replaced; ``n_chars``, where there is such a column, follows the text where that changed.
+
+    No row goes; null, empty and repeated texts are as ``pii.replace`` has them.
+    """
     names = docs.columns
     done = pii.replace(docs).toDF(*[f"__c{i}" for i in range(len(names))], "__n")
     if "n_chars" in names:
@@ -96,6 +109,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, as ``packing.pack`` has them: null and empty texts are one id, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
