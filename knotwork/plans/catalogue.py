@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import P
 from ..sources import bulk
 from ..sources.tables import KINDS, UNIT, load
+from . import stored
 from .traversal import Traversal, __
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,6 +245,11 @@ query("repeat_emit_if_all", lambda g: g.V().hasLabel("event").repeat(__.out("nex
 QUERIES["neighbors_3_all"] = lambda spark, folder: load(spark, folder).g().V().hasLabel("item").as_("a").neighbors("emb", 3).to_df().select("id")
 
 
+# writes, sessions, schemas, indexes and loads
+QUERIES |= stored.QUERIES
+ORACLES |= {name: f"WITH {_V},\n{_E}\n{sql}" for name, sql in stored.SQL.items()}
+
+
 # bulk ingest
 def _line_edges(spark: SparkSession, folder: str) -> DataFrame:
     line = spark.read.parquet(f"{folder}/lineitem.parquet")
