@@ -1,16 +1,24 @@
 """Exact top-k inner-product search as a Voronoi join.
 
-Pivots cut the space into cells.  Queries are grouped by their nearest pivot; every vector keeps its
-distance to its own.  Of a query group only the pivot, the farthest query and the range of norms
-are known, of a cell the few vectors nearest to the pivot; these summaries bound every inner product
-of a group with a vector from both sides, by the triangle inequality and by Cauchy-Schwarz.  The
-(k+1)-th largest lower bound is a score that each query of the group surely reaches, and a vector goes
-to the groups only whose upper bound reaches that.  Within a group, blocks of queries meet chunks of
-vectors of bounded size, so a cell with a third of all rows is many tasks; each returns its k best.
+Pivots, more of them for more data, cut the space into cells.  Every vector keeps its distance to its
+own pivot.  The few vectors nearest to each pivot are summaries that go to all queries: the k-th best
+score of a query among them is a score that it surely reaches.  Of a cell's queries only the smallest
+such score, the farthest query and the range of norms are kept; they bound every inner product of these
+queries with a vector from above, by the triangle inequality, by Cauchy-Schwarz and by the angles to the
+pivots, and a vector goes only where the bound reaches that score.
+
+Cells of queries that want much the same vectors are joined into groups, as long as a group's queries
+make one block: a vector is sent once to a group, however many of its cells want it.  Where bounds rule
+nothing out (vectors of all directions in many dimensions) the groups are as large as that, and the join
+is a blocked scan with one copy of the vectors for each block of queries.  Within a group, blocks of
+queries meet chunks of vectors of bounded size, so a cell with a third of all rows is many tasks; each
+returns its k best.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +30,18 @@ from .common import pick, spool
 
 K = 20
 FACTOR = 64
-PIVOTS = 16
+#: Pivots at least and at most; between them, half the square root of the number of vectors.
+PIVOTS = (16, 1024)
+#: What sending a vector costs, in scores of one vector; decides the groups, never the result.
+COPY = 300
 #: Vectors in a chunk and queries in a block, about.
 CHUNK = 4096
 QUERIES = 4096
-#: Queries scored at once.
+#: Queries scored at once, and pairs of a cell and a vector that are looked at at once.
 ROWS = 256
+PAIRS = 500_000
+
+log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.Array, dims: int, factor: int) -> np.ndarray:
@@ -89,38 +103,81 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k:
 
 
 class Bounds:
-    """What the summaries say of query groups and cells; a few numbers for each pair of pivots."""
+    """What the summaries say of cells' queries and vectors; a few numbers for each pair of pivots."""
 
-    def __init__(self, pivots: np.ndarray, groups: dict[int, tuple[float, float, float]], nearest: list[tuple[int, float, float]], k: int) -> None:
-        """groups: farthest query, smallest and largest squared norm; nearest: (cell, distance, squared norm), of distinct identifiers."""
+    def __init__(self, pivots: np.ndarray, queries: dict[int, tuple[float, float, float, float, int]]) -> None:
+        """queries: by cell the farthest query, smallest and largest squared norm, smallest sure score, number."""
         self.pivots = pivots
-        self.ids = sorted(groups)
-        self.radius, self.low2, self.high2 = (np.array([groups[i][c] for i in self.ids]) for c in range(3))
-        p = pivots[self.ids] if self.ids else pivots[:0]
-        self.between = np.sqrt(np.maximum(0, ((p[:, None] - pivots[None]) ** 2).sum(-1)))
-        self.inner = p @ pivots.T
-        self.norms = np.sqrt((pivots**2).sum(1))
-        self.theta = np.full(len(self.ids), -np.inf)
-        if len(nearest) > k:
-            cell, d, n2 = (np.array(c) for c in zip(*nearest, strict=True))
-            lower = np.maximum(
-                0.5 * (self.low2[:, None] + n2 - (self.between[:, cell] + self.radius[:, None] + d) ** 2),
-                self.inner[:, cell] - self.radius[:, None] * self.norms[cell] - np.sqrt(self.high2)[:, None] * d,
-            )
-            self.theta = np.sort(lower, 1)[:, -(k + 1)]
+        self.ids = np.array(sorted(queries), np.int64)
+        self.radius, self.low2, self.high2, self.theta, self.many = (np.array([queries[i][c] for i in self.ids.tolist()], float) for c in range(5))
+        p = pivots[self.ids] if len(self.ids) else pivots[:0]
+        norms = np.sqrt((pivots**2).sum(1))
+        self.between = np.sqrt(np.maximum(0, ((p**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * p @ pivots.T)))
+        self.inner, self.norms = p @ pivots.T, norms
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = norms[self.ids] if len(self.ids) else norms[:0]
+            self.angle = np.nan_to_num(np.arccos(np.clip(self.inner / (own[:, None] * norms), -1, 1)), nan=math.pi / 2)
+            # a query within radius of its pivot is within this angle of it
+            self.turn = np.where(self.radius < own, np.arcsin(np.clip(self.radius / own, 0, 1)), math.pi)
         self.slack = 1e-6 * (1 + np.abs(self.inner).max(initial=0) + self.high2.max(initial=0))
+        self.group_of = {int(c): i for i, c in enumerate(self.ids.tolist())}
+        self.order, self.first = np.arange(len(self.ids)), np.arange(len(self.ids))
 
-    def reach(self, cell: np.ndarray, d: np.ndarray, n2: np.ndarray) -> np.ndarray:
-        """(groups, vectors): whether a vector may be among the k best of a query of the group."""
+    def wanted(self, cell: np.ndarray, d: np.ndarray, n2: np.ndarray) -> np.ndarray:
+        """(cells with queries, vectors): whether a vector may be among the k best of a query of the cell."""
+        step = max(1, PAIRS // max(1, len(self.ids)))
+        parts = [self._wanted(cell[at : at + step], d[at : at + step], n2[at : at + step]) for at in range(0, len(cell), step)]
+        return np.concatenate(parts, axis=1) if parts else np.zeros((len(self.ids), 0), bool)
+
+    def _wanted(self, cell: np.ndarray, d: np.ndarray, n2: np.ndarray) -> np.ndarray:
         gap = np.maximum(0, self.between[:, cell] - self.radius[:, None] - d)
-        upper = np.minimum(
-            0.5 * (self.high2[:, None] + n2 - gap**2), self.inner[:, cell] + self.radius[:, None] * self.norms[cell] + np.sqrt(self.high2)[:, None] * d
-        )
+        high = np.sqrt(self.high2)[:, None]
+        upper = np.minimum(0.5 * (self.high2[:, None] + n2 - gap**2), self.inner[:, cell] + self.radius[:, None] * self.norms[cell] + high * d)
+        norm = np.sqrt(n2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lean = np.nan_to_num(np.arccos(np.clip((n2 + self.norms[cell] ** 2 - d**2) / (2 * norm * self.norms[cell]), -1, 1)), nan=math.pi / 2)
+        apart = np.maximum(np.abs(self.angle[:, cell] - lean) - self.turn[:, None], 0)
+        # angles at a zero pivot say nothing
+        cosine = np.where(self.norms[cell] > 0, np.cos(np.minimum(apart, math.pi)), 1)
+        upper = np.minimum(upper, np.where(cosine > 0, high, np.sqrt(self.low2)[:, None]) * norm * cosine)
         return upper >= (self.theta - self.slack)[:, None]
 
+    def join(self, cell: np.ndarray, d: np.ndarray, n2: np.ndarray, vectors: int) -> None:
+        """Form groups by what a sample of the vectors says: neighbours join where one copy for both costs less."""
+        if not len(self.ids):
+            return
+        want = self.wanted(cell, d, n2)
+        scale = vectors / max(1, want.shape[1])
+        left, chain = list(range(1, len(self.ids))), [0]
+        while left:  # a chain of near pivots
+            near = min(left, key=lambda i: (self.between[chain[-1], self.ids[i]], i))
+            left.remove(near)
+            chain.append(near)
+        groups: list[list[int]] = []
+        mine, queries = None, 0.0
+        cost = lambda kept, n: kept.sum() * scale * (COPY + n)
+        for i in chain:
+            n = self.many[i]
+            both = None if mine is None else mine | want[i]
+            if both is not None and queries + n <= QUERIES and cost(both, queries + n) <= cost(mine, queries) + cost(want[i], n):
+                groups[-1].append(i)
+                mine, queries = both, queries + n
+            else:
+                groups.append([i])
+                mine, queries = want[i], n
+        self.order = np.array([i for g in groups for i in g])
+        self.first = np.cumsum([0, *map(len, groups[:-1])])
+        self.group_of = {int(self.ids[i]): g for g, members in enumerate(groups) for i in members}
+
+    def reach(self, cell: np.ndarray, d: np.ndarray, n2: np.ndarray) -> np.ndarray:
+        """(groups, vectors): whether a vector goes to a group."""
+        if not len(self.ids):
+            return np.zeros((0, len(cell)), bool)
+        return np.logical_or.reduceat(self.wanted(cell, d, n2)[self.order], self.first, axis=0)
+
 
 def top_k(
-    vectors: DataFrame, k: int = K, every: int = 20, factor: int = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS
+    vectors: DataFrame, k: int = K, every: int = 20, factor: int = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest integer inner product of each query.
 
@@ -137,19 +194,20 @@ def top_k(
     dims, top = dims or 1, int(factor * (top or 0)) + 1
     kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
 
+    pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], math.isqrt(n) // 2))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     points = np.zeros((max(1, len(chosen)), dims))
     for i, r in enumerate(chosen):
         points[i, : len(r["v"])] = np.floor(factor * np.array(r["v"]))
     points = np.unique(points, axis=0)
+    points2 = (points**2).sum(1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b["v"], dims, factor)
             n2 = (x * x).sum(1)
-            d2 = np.stack([((x - p) ** 2).sum(1) for p in points], 1)
-            cell = d2.argmin(1)
-            d = np.sqrt(d2[np.arange(len(x)), cell])
+            cell = (points2 - 2 * x @ points.T).argmin(1)
+            d = np.sqrt(((x - points[cell]) ** 2).sum(1))
             raw = np.clip(x, -(2.0**63), 2.0**63 - 1024).astype(kind)
             yield pa.RecordBatch.from_arrays(
                 [b["id"], pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(cell, pa.int32()), pa.array(d), pa.array(n2)], ["id", "v", "cell", "d", "n2"]
@@ -157,14 +215,32 @@ def top_k(
 
     data = spool(rows.mapInArrow(assign, "id long, v binary, cell int, d double, n2 double"), "cells")
     queries = data.filter(F.pmod("id", F.lit(every)) == 0)
-    grouped = queries.groupBy("cell").agg(F.max("d"), F.min("n2"), F.max("n2"), F.count("*")).collect()
-    # k + 1 identifiers, one of which may be a query's own; one that lies in several cells counts once
+    # k + 1 identifiers a cell, one of which may be a query's own; one that lies in several cells counts once
     near = Window.partitionBy("cell").orderBy("d", "id")
-    nearest = data.groupBy("id").agg(F.min(F.struct("d", "cell", "n2")).alias("x")).select("x.cell", "x.d", "x.n2", "id")
-    nearest = nearest.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).collect()
-    bounds = Bounds(points, {r[0]: tuple(r[1:4]) for r in grouped}, [(r["cell"], r["d"], r["n2"]) for r in nearest], k)
-    shared = data.sparkSession.sparkContext.broadcast(bounds)
-    group_ids = np.array(bounds.ids, np.int32)
+    summary = data.groupBy("id").agg(F.min(F.struct("d", "cell", "n2", "v")).alias("x")).select("x.cell", "x.d", "x.n2", "x.v", "id")
+    summary = summary.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).drop("r").toArrow()
+    known = _packed(summary["v"].combine_chunks(), kind).astype(float) if len(summary) else np.zeros((0, dims))
+    known_ids = summary["id"].to_numpy()
+    context = data.sparkSession.sparkContext
+    sample = context.broadcast((known, known_ids))
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The score that each query surely reaches."""
+        x, ids = sample.value
+        for b in batches:
+            q, own, out = _packed(b["v"], kind).astype(float), b["id"].to_numpy(), []
+            for at in range(0, len(q), ROWS):
+                s = q[at : at + ROWS] @ x.T
+                s[ids == own[at : at + ROWS, None]] = -np.inf
+                out.append(np.partition(s, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(s), -np.inf))
+            yield pa.RecordBatch.from_arrays([b["cell"], b["d"], b["n2"], pa.array(np.concatenate(out) if out else np.zeros(0))], ["cell", "d", "n2", "t"])
+
+    told = queries.select("id", "v", "cell", "d", "n2").mapInArrow(sure, "cell int, d double, n2 double, t double")
+    grouped = told.groupBy("cell").agg(F.max("d"), F.min("n2"), F.max("n2"), F.min("t"), F.count("*")).collect()
+    bounds = Bounds(points, {r[0]: tuple(r[1:]) for r in grouped})
+    bounds.join(summary["cell"].to_numpy().astype(np.int64), summary["d"].to_numpy(), summary["n2"].to_numpy(), n)
+    shared = context.broadcast(bounds)
+    group_ids = np.arange(len(bounds.first) if len(bounds.ids) else 0, dtype=np.int32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(group_ids), np.int64)
@@ -173,9 +249,13 @@ def top_k(
         yield pa.RecordBatch.from_arrays([pa.array(group_ids), pa.array(total)], ["g", "n"])
 
     sizes = dict(data.select("cell", "d", "n2").mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n")).collect())
-    chunks = np.array([max(1, -(-sizes.get(g, 0) // CHUNK)) for g in bounds.ids], np.int64)
-    blocks = {r[0]: -(-r[4] // QUERIES) for r in grouped}
-    blocks = np.array([blocks[g] for g in bounds.ids], np.int64)
+    chunks = np.array([max(1, -(-sizes.get(g, 0) // CHUNK)) for g in group_ids.tolist()], np.int64)
+    asked = np.zeros(len(group_ids), np.int64)
+    for r in grouped:
+        asked[bounds.group_of[r[0]]] += r[5]
+    blocks = -(-asked // QUERIES)
+    if n and len(group_ids):
+        log.info("%d cells of queries in %d groups; share of (group, vector) pairs kept %.3f", len(bounds.ids), len(group_ids), sum(sizes.values()) / (n * len(group_ids)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,9 +267,8 @@ def top_k(
             yield from _keyed(b, group_ids[g], chunk, block, i)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {int(g): j for j, g in enumerate(group_ids)}
         for b in batches:
-            g = np.array([place[c] for c in b["cell"].to_pylist()], np.int64)
+            g = np.array([shared.value.group_of[c] for c in b["cell"].to_pylist()], np.int64)
             block = (b["h"].to_numpy().view(np.uint64) % blocks[g].astype(np.uint64)).astype(np.int64) if len(g) else g
             many = chunks[g]
             chunk = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)

@@ -60,17 +60,48 @@ def test_knn_small_and_empty(spark):
     assert [tuple(r) for r in knn_join.top_k(two).collect()] == [(0, 1, 1, 64 * 32 + 32 * 64)]
 
 
+def summaries(x, pivots, queries, k):
+    """Cells, distances and squared norms of vectors, and the bounds of their queries with the true k-th best scores."""
+    cell = ((x[:, None] - pivots) ** 2).sum(2).argmin(1)
+    d, n2 = np.sqrt(((x - pivots[cell]) ** 2).sum(1)), (x * x).sum(1)
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    theta = np.sort(scores, 1)[:, -k]
+    own = {int(c): queries[cell[queries] == c] for c in np.unique(cell[queries])}
+    told = {c: (d[q].max(), n2[q].min(), n2[q].max(), theta[cell[queries] == c].min(), len(q)) for c, q in own.items()}
+    return cell, d, n2, scores, theta, knn_join.Bounds(pivots, told)
+
+
 def test_bounds_rule_out_cells():
-    """Far cells are not sent to a group that has enough near vectors."""
+    """Far cells are not sent to a group that has enough near vectors, and no needed vector is ruled out."""
     rng = np.random.default_rng(0)
-    pivots = np.array([[100.0, 0.0], [-100.0, 0.0]])
-    x = np.concatenate([pivots[0] + rng.normal(0, 1, (50, 2)), pivots[1] + rng.normal(0, 1, (50, 2))])
-    cell = np.repeat([0, 1], 50)
-    d, n2 = np.sqrt(((x - pivots[cell]) ** 2).sum(1)), (x * x).sum(1)
-    near = [(int(c), float(a), float(b)) for c in (0, 1) for a, b in sorted(zip(d[cell == c], n2[cell == c], strict=True))[:6]]
-    b = knn_join.Bounds(pivots, {0: (2.0, float(n2[:5].min()), float(n2[:5].max()))}, near, 5)
-    reach = b.reach(cell, d, n2)
-    assert reach[0, :50].sum() >= 6 and not reach[0, 50:].any()
+    centers = rng.normal(0, 60, (12, 8))
+    x = np.concatenate([c + rng.normal(0, 2, (100, 8)) for c in centers])
+    queries = np.arange(0, len(x), 10)
+    cell, d, n2, scores, theta, bounds = summaries(x, centers, queries, 5)
+    before = bounds.wanted(cell, d, n2)
+    bounds.join(cell, d, n2, len(x))
+    kept = bounds.reach(cell, d, n2)
+    assert before.mean() < 0.3 and kept.mean() < 0.5 and len(bounds.first) > 1
+    for i, q in enumerate(queries):
+        needed = np.flatnonzero(scores[i] >= theta[i])
+        assert kept[bounds.group_of[int(cell[q])], needed].all()
+
+
+def test_bounds_lose_nothing_where_they_rule_out_little():
+    """Vectors of all directions, zero vectors and pivots, one large norm: every needed vector is kept, in one group if nothing is gained by more."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 10, (600, 32))
+    x[5] = 0
+    x[7] *= 30
+    pivots = np.concatenate([x[:20], np.zeros((1, 32))])
+    queries = np.arange(0, 600, 7)
+    cell, d, n2, scores, theta, bounds = summaries(x, pivots, queries, 5)
+    bounds.join(cell, d, n2, len(x))
+    kept = bounds.reach(cell, d, n2)
+    for i, q in enumerate(queries):
+        assert kept[bounds.group_of[int(cell[q])], np.flatnonzero(scores[i] >= theta[i])].all()
+    assert len(bounds.first) <= 2
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
