@@ -50,9 +50,15 @@ PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}
 COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PERSON = rf"(?<!\p{{L}})(?:{'|'.join(_TITLES_M + _TITLES_F + _TITLES_X)})\.? {_NAME}(?: {_NAME}){{0,2}}"
-ENTITY = "|".join((EMAIL, SECRET, IBAN, SSN, IPV4, PHONE, CARD, PERSON))
-#: A text without these holds no entity and is not searched.
-HINT = rf"[@\d]|[0-9A-F]{{32}}|[0-9a-f]{{32}}|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA|{'|'.join(_TITLES_M + _TITLES_F + _TITLES_X)}"
+#: No entity begins between two letters, but with a digit, + or bracket; this rules most places out at once.
+_BEGIN = r"(?:(?<![A-Za-z])|(?=[\d+(]))"
+ENTITY = f"{_BEGIN}(?:{'|'.join((EMAIL, SECRET, IBAN, SSN, IPV4, PHONE, CARD, PERSON))})"
+_TITLES = _TITLES_M + _TITLES_F + _TITLES_X
+#: A text without these holds no entity and is not searched: an @ or digit, or where a key or a title begins.
+HINT = (
+    rf"[@\d]|(?<![A-Za-z])(?:(?=[A-Fa-f])(?:[0-9A-F]{{32}}|[0-9a-f]{{32}})|(?=[gpsx])(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA|"
+    rf"(?=[{''.join(sorted({t[0] for t in _TITLES}))}])(?:{'|'.join(_TITLES)})[. ])"
+)
 # Given names by gender and script, and syllables that surnames are made of.
 GIVEN = {
     ("latin", "m"): "Adam Albert Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Marco Nils Oscar Paul Robert Simon Thomas Victor Walter".split(),
