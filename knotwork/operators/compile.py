@@ -82,12 +82,22 @@ class Compiler:
         return frame.but(df=frame.df.where(F.lit(False)))
 
     def _sealed(self, frame: Frame) -> Frame:
-        """Sort columns inside a scope become one position, so that they can follow the outer order."""
+        """Sort columns become one position, so that they can follow an outer order.
+
+        Inside a scope rows are numbered by scope.  Outside, a global sort deals them to ranges, and a
+        row's position is that of its range and within it; the frame is written out, so that all who
+        read it see the same positions.
+        """
         if not frame.sort:
             return frame
-        n = F.row_number().over(Window.partitionBy(*(["__scope"] if frame.scope else [])).orderBy(*frame.sort_columns()))
-        df = frame.df.withColumn("__ord", F.array(n.cast("bigint"))).drop(*[c for c, _ in frame.sort])
-        return frame.but(df=df, sort=())
+        own = [c for c, _ in frame.sort]
+        if frame.scope:
+            n = F.row_number().over(Window.partitionBy("__scope").orderBy(*frame.sort_columns()))
+            return frame.but(df=frame.df.withColumn("__ord", F.array(n.cast("bigint"))).drop(*own), sort=())
+        if not frame.order:
+            return frame.but(df=frame.df.drop(*own), sort=())
+        placed = frame.df.orderBy(*frame.sort_columns()).withColumn("__ord", F.array(F.monotonically_increasing_id())).drop(*own)
+        return frame.but(df=spool(placed), sort=())
 
     # sources
 
@@ -654,18 +664,40 @@ class Compiler:
         return self._aggregated(frame, F.avg(number), F.lit(None).cast("double"), scalar(T.DoubleType()))
 
     def _listed(self, frame: Frame, value: Column) -> Column:
-        """The values of a group as a list in emission order."""
-        frame = self._sealed(frame)
-        items = F.array_sort(F.collect_list(F.struct(F.col("__ord").alias("o"), value.alias("x"))))
+        """The values of a group as a list in emission order, sort columns first."""
+        own = [F.col(c).alias(f"s{i}") for i, (c, _) in enumerate(frame.sort)]
+        items = F.collect_list(F.struct(*own, F.col("__ord").alias("o"), value.alias("x")))
+
+        def compared(a: Column, b: Column) -> Column:
+            out = F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+            for i, (_, way) in reversed(list(enumerate(frame.sort))):
+                x, y = a[f"s{i}"], b[f"s{i}"]
+                first, last = (x < y, x > y) if way == "asc" else (x > y, x < y)
+                # nulls are last in both directions
+                out = F.when(x.isNull() & y.isNotNull(), 1).when(x.isNotNull() & y.isNull(), -1).when(first, -1).when(last, 1).otherwise(out)
+            return out
+
+        items = F.array_sort(items, compared) if frame.sort else F.array_sort(items)
         return F.transform(items, lambda x: x["x"])
 
     def _fold(self, frame: Frame, step: Step) -> Frame:
-        frame = self._sealed(self._nested(frame))
+        frame = self._nested(frame)
         kind = Kind("list", T.ArrayType(frame.kind.type), frame.kind)
         return self._aggregated(frame, self._listed(frame, F.col("v")), F.array().cast(kind.type), kind)
 
+    def _first(self, frame: Frame) -> Column | None:
+        """What says which group was emitted first, if an aggregation can: the least of the sort columns and the order."""
+        parts = []
+        for name, way in frame.sort:
+            kind = frame.df.schema[name].dataType
+            if way == "desc" and not isinstance(kind, T.NumericType):
+                return None
+            parts += [F.col(name).isNull(), F.col(name) if way == "asc" else -F.col(name).cast("double" if isinstance(kind, T.FractionalType) else "decimal(38,0)")]
+        return F.min(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)], F.col("__ord").alias("o")) if parts else F.col("__ord"))
+
     def _grouped(self, frame: Frame, step: Step, count: bool) -> Frame:
-        frame = self._sealed(frame)
+        if self.order and self._first(frame) is None:
+            frame = self._sealed(frame)
         by = step.args[0]
         if by is not None:
             self.graph.registry.check_key(by)
@@ -680,7 +712,7 @@ class Compiler:
             key_kind, key, df = frame.kind, self._canonical(frame), frame.df
         scope = ["__scope"] if frame.scope else []
         value = F.count(F.lit(1)) if count else self._listed(frame, F.col("v"))
-        first = [F.min("__ord").alias("__first")] if self.order else []
+        first = [self._first(frame).alias("__first")] if self.order else []
         df = df.groupBy(*scope, key.alias("key")).agg(value.alias("value"), *first)
         inner = scalar(T.LongType()) if count else Kind("list", T.ArrayType(frame.kind.type), frame.kind)
         entry = T.ArrayType(T.StructType([T.StructField("key", key_kind.type), T.StructField("value", inner.type)]))

@@ -43,11 +43,11 @@ CASES = {
     "both_edges_dedup": (lambda g: g.V().bothE().hasLabel("created").dedup().count(), [4]),
     "union": (lambda g: g.V().hasLabel("person").union(__.outE("created"), __.outE("knows")).count(), [6]),
     "union_per_traverser": (lambda g: g.V().hasLabel("person").union(__.out().count(), __.in_().count()), [3, 0, 0, 1, 2, 1, 1, 0]),
-    "repeat_times": (lambda g: g.V(1).repeat(__.out("knows", "created")).times(2).values("name"), ["lop", "ripple"]),
-    "repeat_until_emit": (lambda g: g.V(1).repeat(__.out("knows")).until(__.hasLabel("software")).emit().values("name"), ["josh", "vadas"]),
-    "repeat_emit": (lambda g: g.V(1).repeat(__.out()).times(3).emit().id(), [2, 3, 3, 4, 5]),
-    "repeat_until": (lambda g: g.V(1).repeat(__.out()).until(__.hasLabel("software")).id(), [3, 3, 5]),
-    "repeat_dedup_per_start": (lambda g: g.V(1, 4).repeat(__.out().dedup()).times(2).id(), [3, 5]),
+    "repeat_times": (lambda g: g.V(3).repeat(__.in_("created", "knows")).times(2).values("name"), ["marko"]),
+    "repeat_until_emit": (lambda g: g.V(5).repeat(__.in_()).until(__.has("age", P.lt(30))).emit().values("name"), ["josh", "marko"]),
+    "repeat_emit": (lambda g: g.V(3).repeat(__.both("created")).times(2).emit().id(), [1, 3, 3, 3, 4, 5, 6]),
+    "repeat_until": (lambda g: g.V(6).repeat(__.both("created")).until(__.has("age")).id(), [1, 4, 6]),
+    "repeat_dedup_per_start": (lambda g: g.V(1, 6).repeat(__.out("created").in_("created").dedup()).times(1).id(), [1, 4, 6, 1, 4, 6]),
     "not": (lambda g: g.V().not_(__.hasLabel("person")).values("name"), ["lop", "ripple"]),
     "and": (lambda g: g.V().and_(__.hasLabel("person"), __.has("age", P.gt(30))).values("name"), ["josh", "peter"]),
     "or": (lambda g: g.V().or_(__.has("name", "marko"), __.has("name", "lop")).values("name"), ["lop", "marko"]),
@@ -182,6 +182,34 @@ def test_rewrites():
     assert rewrite(__.where(__.out().fold()).steps) == ()
 
 
+ORDERED = {
+    "fold": (lambda g: g.V().order().by("age", "desc").by("name").id().fold(), [[6, 4, 1, 2, 3, 5]]),
+    "fold_asc": (lambda g: g.V().order().by("lang").by("age").values("name").fold(), [["lop", "ripple", "vadas", "marko", "josh", "peter"]]),
+    "group": (lambda g: g.V().hasLabel("person").order().by("age", "desc").group().by("lang"), [{}]),
+    "group_label": (lambda g: g.V().order().by("name", "desc").label().group(), [{"person": ["person"] * 4, "software": ["software"] * 2}]),
+    "union": (lambda g: g.V().order().by("age", "desc").union(__.id(), __.constant(0)), [6, 0, 4, 0, 1, 0, 2, 0, 3, 0, 5, 0]),
+    "repeat": (lambda g: g.V().hasLabel("person").order().by("name", "desc").repeat(__.out("created")).times(1).id(), [3, 3, 3, 5]),
+}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_order_before_barriers_needs_no_single_task(g, name):
+    build_, want = ORDERED[name]
+    t = build_(g)
+    got = t.to_list()
+    assert (got == want) if name != "repeat" else sorted(got) == want
+    plan = t.explain()
+    assert "Window" not in plan
+
+
+def test_global_positions_follow_the_sort(spark):
+    rows = spark.range(20_000).selectExpr("id", "'n' AS label", "pmod(hash(id), 1000) AS x")
+    g = PropertyGraph(rows, spark.createDataFrame([], "src long, label string, dst long, rank int")).g()
+    got = g.V().order().by("x", "desc").union(__.values("x"), __.id()).to_list()
+    want = sorted(((r.x, r.id) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    assert got == [y for pair in want for y in pair]
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     graph = build(spark)
     graph.vertices.write.parquet(f"{tmp_path}/v")
