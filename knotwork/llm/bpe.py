@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import Remembered, pick, worker_cache
 
-#: Stretches of text whose ids a worker remembers, and twice the tokens; others are encoded anew.
-CACHE = 1_000_000
+#: Bytes of stretches of text and their ids that a worker remembers, and half as many of tokens; others are encoded anew.
+CACHE = 160 << 20
 #: Bytes of a pre-token up to which a bucket is one bitmap of positions.
 SHORT = 256
 #: A space beside other white space (or at the end after it), where words cannot be cut apart.

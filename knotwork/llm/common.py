@@ -96,20 +96,25 @@ def release() -> None:
 
 
 class Remembered:
-    """A bounded dictionary of two generations: what was not asked for during the last one is forgotten."""
+    """A dictionary of two generations, bounded by bytes: what was not asked for during the last one is forgotten."""
+
+    #: What an entry takes besides its key's and value's own bytes, about.
+    ENTRY = 200
 
     def __init__(self, size: int) -> None:
-        self.half, self.young, self.old = size // 2, {}, {}
+        self.half, self.young, self.old, self.used = size // 2, {}, {}, 0
 
-    def get(self, key: str) -> bytes | None:
+    def get(self, key: str) -> object | None:
         value = self.young.get(key)
         if value is None and (value := self.old.get(key)) is not None:
             self.put(key, value)
         return value
 
-    def put(self, key: str, value: bytes) -> None:
+    def put(self, key: str, value: object) -> None:
         if len(key) > 64:
             return
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
+        cost = self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 8)
+        if self.used + cost > self.half:
+            self.old, self.young, self.used = self.young, {}, 0
         self.young[key] = value
+        self.used += cost

@@ -3,8 +3,9 @@
 Features are the distinct words, word pairs and pairs with one word left out of a whole text, each
 hashed to 64 bits.  FTRL-proximal keeps a learning rate per coordinate, and its L1 term leaves a few
 hundred weights, which are broadcast.  Learning takes at most ``sample`` labelled rows, those with
-the smallest hash of their identifier; one task learns from them row by row, so the driver gets the
-weights only.
+the smallest hash of their identifier, and of these as many as have ``SAMPLE_BYTES`` of text together
+(at least one); one task learns from them row by row, so the driver gets the weights only.  Features of
+a single sampled row teach nothing and are left out, and of the weights the ``MAX_WEIGHTS`` largest stay.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +26,12 @@ from .common import Remembered, indexed, pick, release, worker_cache
 
 #: Labelled rows to learn from at most.
 SAMPLE = 12_000
+#: Bytes of text to learn from at most: one task holds some ten times as much.
+SAMPLE_BYTES = 48 << 20
 #: Weights to broadcast at most (the largest stay): 16 bytes each.
 MAX_WEIGHTS = 1 << 18
-#: Word hashes a worker remembers.
-CACHE = 200_000
+#: Bytes of words and hashes that a worker remembers, about.
+CACHE = 32 << 20
 _FILTER_BITS = 20
 _COUNT_BITS = 24
 #: Features in one row on the way to the learning task, so that batches of rows stay small.
@@ -121,7 +124,7 @@ def held_out(doc_id) -> F.Column:  # noqa: ANN001
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = SAMPLE_BYTES) -> Model:
     """Learn from labelled rows that are not held out.
 
     Rows with a null identifier or label play no part; if an identifier has several labels, the
@@ -148,6 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         release()
 
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("o"), F.col("y").cast("long").alias("y"), "text")
+    sizes = rows.groupBy("o").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))  # one row for each sampled identifier
+    sizes = sizes.withColumn("before", F.sum("size").over(Window.orderBy("o")) - F.col("size"))
+    rows = rows.join(F.broadcast(sizes.filter(F.col("before") <= F.lit(limit) - F.col("size")).select("o").unionByName(sizes.filter("before = 0").select("o")).distinct()), "o", "left_semi").select("o", "y", "text")
     got = rows.mapInArrow(found, "o long, y long, f array<long>").repartition(1).mapInArrow(learn, "k long, w double").collect()
     bias = next((r["w"] for r in got if r["k"] is None), -2.0)
     pairs = sorted((r["k"] & 0xFFFFFFFFFFFFFFFF, r["w"]) for r in got if r["k"] is not None)
@@ -175,7 +181,12 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", column: st
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs`` (null and empty texts too)."""
+    """doc_id, held_out, score, predicted for each row of ``docs``.
+
+    A null text counts as empty, and empty ones score what the bias says.  Repeated rows each get a
+    row; an empty table gives an empty result; without labels all score alike; other columns play no
+    part, whatever their names.
+    """
     model = train(docs, labels, sample)
     rows = with_score(pick(docs, doc_id="doc_id", text="text"), model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -164,11 +164,11 @@ def test_bpe_matches_the_library(docs, nothing, texts):
     assert bpe.digests(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_remembers_a_bounded_number():
-    r = bpe.Remembered(10)
+def test_bpe_remembers_a_bounded_number_of_bytes():
+    r = bpe.Remembered(4000)
     for i in range(1000):
-        r.put(str(i), b"x")
-    assert len(r.young) + len(r.old) <= 10 and r.get("999") == b"x" and r.get("1") is None
+        r.put(str(i), b"x" * (i % 50))
+    assert 0 < (len(r.young) + len(r.old)) * r.ENTRY <= 4000 and r.get("999") == b"x" * 49 and r.get("1") is None
 
 
 def check_packing(pieces, ids_of, window):
@@ -262,6 +262,104 @@ def test_toxicity_learns_words_and_keeps_labels_out(spark):
     assert toxicity.scores(docs, labels.limit(0)).count() == len(rows)
 
 
+def slow_ftrl(rows, alpha=1.0, beta=1.0, l1=3.0, l2=1.0, epochs=4):
+    """The update rule coordinate by coordinate, over dictionaries."""
+    times = collections.Counter(int(k) for f, _ in rows for k in f)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    zb = nb = 0.0
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + n[k] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for f, y in rows:
+            own = [int(k) for k in f if times[int(k)] > 1]
+            w = {k: weight(k) for k in own}
+            b = -zb / ((beta + nb**0.5) / alpha)
+            g = 1 / (1 + np.exp(-(b + sum(w.values())))) - y
+            for k in own:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w[k]
+                n[k] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
+            nb += g * g
+    return -zb / ((beta + nb**0.5) / alpha), {k: weight(k) for k in z if weight(k)}
+
+
+def test_toxicity_against_brute_force():
+    """Features by hand, learning coordinate by coordinate, scores by plain sums."""
+    rng = random.Random(9)
+    words = ["Ab", "cd", "vile", "scum", "é1", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    mask = (1 << 64) - 1
+    pair, following, skip, after = (int(x) for x in (toxicity._PAIR, toxicity._NEXT, toxicity._SKIP, toxicity._AFTER))
+
+    def slow_features(text):
+        h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"[^\W_]+", text.lower())]
+        found = set(h) | {(a * pair + b * following) & mask for a, b in zip(h, h[1:])} | {(a * skip + b * after) & mask for a, b in zip(h, h[2:])}  # noqa: B905
+        return sorted(found)
+
+    rows = [(toxicity.features(t), int("vile scum" in t)) for t in texts]
+    assert all(f.tolist() == slow_features(t) for (f, _), t in zip(rows, texts, strict=True))
+    model, (bias, weights) = toxicity.ftrl(rows), slow_ftrl(rows)
+    assert abs(model.bias - bias) < 1e-6 and dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True)).keys() == weights.keys()
+    seen = model.lookup()
+    for (f, _), t in zip(rows, texts, strict=True):
+        total = bias + sum(weights.get(k, 0.0) for k in slow_features(t))
+        assert abs(model.score(f, seen) - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def odd_docs(spark):
+    """A null and a repeated identifier, a very long text, and columns whose names clash with those of the operators."""
+    rows = [(i, f"{'vile scum' if i % 4 == 0 else 'kind words'} {i} again", "xx" if i % 2 else "yy", "s", 0, 0.5, True) for i in range(60)]
+    rows += [(5, "kind words 5 again", "xx", "s", 0, 0.5, True), (None, "vile scum", "yy", None, None, None, None), (99, "word " * 200_000, None, "s", 0, 0.5, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, held_out boolean")
+    return df.toDF("doc_id", "text", "lang", "source", "n_chars", "score", "TEXT"), len(rows)
+
+
+def test_models_with_odd_rows_and_columns(spark):
+    docs, n = odd_docs(spark)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = toxicity.scores(docs, labels).collect()
+    assert len(got) == n and len({r.score for r in got if r.doc_id == 5}) == 1 and all(0 <= r.score <= 1 for r in got)
+    few = toxicity.train(docs, labels, limit=30)  # bytes for a row or two
+    assert len(few.weights) <= len(toxicity.train(docs, labels).weights)
+    named = language_id.identify(docs).collect()
+    assert len(named) == n and len({(r.lang_pred, r.score) for r in named if r.doc_id == 5}) == 1
+
+
+def test_language_probabilities_against_brute_force():
+    """Every byte of a text through both directions one step at a time."""
+    net, rng = language_id.Network.new(["a", "b", "c"], 4), np.random.default_rng(4)
+    for w in net.weights():
+        w += rng.normal(0, 0.5, w.shape).astype(w.dtype)
+    for text in ("short", "éàü and more of it " * 3):
+        want = slow_probabilities(net, text.lower().encode(), 16)
+        assert np.allclose(language_id.document_probabilities(net, [text], 16, 8)[0], want, atol=1e-4)
+
+
+def slow_probabilities(net, raw, window):
+    total, count = np.zeros(len(net.languages)), 0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    hidden = net.u[0].shape[1]
+
+    def slow_step(side, byte, h):
+        g, a = net.e[side][:, byte].astype(float), net.u[side] @ h
+        z, r = sigmoid(g[:hidden] + a[:hidden]), sigmoid(g[hidden : 2 * hidden] + a[hidden : 2 * hidden])
+        new = np.tanh(g[2 * hidden :] + r * (a[2 * hidden :] + net.c[side]))
+        return z * h + (1 - z) * new
+
+    for piece in [raw[i : i + window] for i in range(0, len(raw), window)]:
+        states = []
+        for side, order in ((0, piece), (1, piece[::-1])):
+            h, out = np.zeros(hidden), []
+            for byte in order:
+                out.append(h := slow_step(side, byte, h))
+            states.append(out if side == 0 else out[::-1])
+        for forward, backward in zip(*states, strict=True):
+            logits = net.v @ np.concatenate([forward, backward]) + net.b
+            p = np.exp(logits - logits.max())
+            total += p / p.sum()
+            count += 1
+    return total / count
+
+
 def test_language_network_gradients():
     net = language_id.Network.new(["a", "b", "c"], 4)
     rng = np.random.default_rng(0)
