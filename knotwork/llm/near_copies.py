@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, release, skew_join, spool
+from .common import forget, pick, release, skew_join, small_or_shuffled, spool
 from .simhash import SEED, components, hexadecimal
 
 WORDS = 5
@@ -43,6 +43,9 @@ SMALL, STRAY = 64, 8
 TURNS = 2
 #: Members of a block of a shard, values of a leaf of a tree, pairs in a batch.
 BLOCK, LEAF, PAIRS = 4096, 512, 100_000
+#: Sketches compared at once, and what fills those of small sets.
+SKETCHES = 4096
+NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -153,7 +156,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, s
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = rows.select("t", "text").join(nodes.join(wanted, "fp", "left_semi").select("t"), "t", "left_semi").dropDuplicates(["t"])
+    wanted = spool(nodes.join(wanted, "fp", "left_semi").select("t").distinct(), "wanted")
+    texts = rows.select("t", "text").join(small_or_shuffled(wanted, wanted.count()), "t", "left_semi").dropDuplicates(["t"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,8 +207,8 @@ def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFra
     radius = radius_for(similarity)
 
     def fields(member: pa.Array) -> tuple[np.ndarray, ...]:
-        plain = [member.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "print", "root")]
-        return (*plain[:2], plain[2].view(np.uint64), plain[3], member.field("low"))
+        fp, n, bits, root = (member.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "print", "root"))
+        return fp, n, bits.view(np.uint64), root, sketches(member.field("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -214,18 +218,16 @@ def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFra
                 fp, n, bits, root, low = fields(left.values)
                 ofp, on, obits, oroot, olow = fields((left if alone else right).values)
                 tree = Tree(obits)
-                sets, osets = low.to_pylist(), olow.to_pylist()
                 for i in range(len(fp)):
                     at = tree.within(bits[i], radius + STRAY * int(n[i] < SMALL / similarity))
                     small, large = np.minimum(n[i], on[at]), np.maximum(n[i], on[at])
-                    at = at[(oroot[at] != root[i]) & (small >= similarity * large - 1e-9)]
-                    if alone:
-                        at = at[at > i]
-                    at = [k for k in at.tolist() if alike(sets[i], osets[k], similarity)]
-                    if at:
-                        other = ofp[at]
-                        held.append(np.stack([np.maximum(other, fp[i]), np.minimum(other, fp[i])]))
-                        many += len(at)
+                    at = at[(oroot[at] != root[i]) & (small >= similarity * large - 1e-9) & ((at > i) | (not alone))]
+                    for k in range(0, len(at), SKETCHES):
+                        some = at[k : k + SKETCHES]
+                        some = some[alike(low[i], n[i], olow[some], on[some], similarity)]
+                        if len(some):
+                            held.append(np.stack([np.maximum(ofp[some], fp[i]), np.minimum(ofp[some], fp[i])]))
+                            many += len(some)
                     if many >= PAIRS:
                         yield _batch(held)
                         held, many = [], 0
@@ -234,15 +236,24 @@ def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFra
     return _blocks(entries, largest).select("left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
-def alike(a: list[int], b: list[int], similarity: float) -> bool:
-    """Whether the smallest hashes (unsigned, in order) of two sets have enough in common: of small sets all are compared, exactly."""
-    if len(a) < SKETCH and len(b) < SKETCH:
-        both = len(set(a).intersection(b))
-        return both >= similarity * (len(a) + len(b) - both) - 1e-9
-    least = sorted({x & 0xFFFFFFFFFFFFFFFF for x in a} | {x & 0xFFFFFFFFFFFFFFFF for x in b})[:SKETCH]
-    own, other = ({x & 0xFFFFFFFFFFFFFFFF for x in s} for s in (a, b))
-    share = similarity * len(least) - DEVIATIONS * math.sqrt(similarity * (1 - similarity) * len(least))
-    return sum(x in own and x in other for x in least) >= share
+def sketches(low: pa.Array) -> np.ndarray:
+    """(sets, SKETCH) unsigned hashes in order, with the largest number behind those of smaller sets."""
+    sizes = np.diff(low.offsets.to_numpy())
+    out = np.full((len(low), SKETCH), NOTHING)
+    out[np.arange(SKETCH) < sizes[:, None]] = low.flatten().to_numpy().view(np.uint64)
+    return out
+
+
+def alike(own: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the smallest hashes of a set of n have enough in common with those of others: of sets that are all there, exactly."""
+    both = np.sort(np.concatenate([np.broadcast_to(own, others.shape), others], axis=1), axis=1)
+    again = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NOTHING)
+    place = np.cumsum(np.concatenate([np.ones((len(both), 1), bool), ~again], axis=1), axis=1)  # of each hash among the distinct ones
+    common = again.sum(1)
+    whole = (n <= SKETCH) & (sizes <= SKETCH)
+    least = (again & (place[:, 1:] <= SKETCH)).sum(1)
+    share = similarity * SKETCH - DEVIATIONS * math.sqrt(similarity * (1 - similarity) * SKETCH)
+    return np.where(whole, common >= similarity * (n + sizes - common) - 1e-9, least >= share)
 
 
 def _batch(held: list[np.ndarray]) -> pa.RecordBatch:

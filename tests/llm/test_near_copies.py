@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -67,6 +68,24 @@ def test_trees_find_all_within():
     assert near_copies.Tree(np.zeros(2000, np.uint64)).within(np.uint64(0), 0).tolist() == list(range(2000))
 
 
+def test_sketches_against_sets():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 90), replace=False)) for _ in range(80)]
+    low = near_copies.sketches(pa.array([s[: near_copies.SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())))
+    sizes = np.array([len(s) for s in sets])
+    share = 0.5 * near_copies.SKETCH - near_copies.DEVIATIONS * (0.25 * near_copies.SKETCH) ** 0.5
+    for a, own, n in zip(sets, low, sizes, strict=True):
+        got = near_copies.alike(own, n, low, sizes, 0.5)
+        for b, g in zip(sets, got, strict=True):
+            if max(len(a), len(b)) <= near_copies.SKETCH:
+                assert g == (len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b)) - 1e-9)
+            else:
+                least = np.union1d(a, b)[: near_copies.SKETCH]
+                seen = np.intersect1d(a[: near_copies.SKETCH], b[: near_copies.SKETCH])
+                assert g == (len(np.intersect1d(least, seen)) >= share)
+
+
 def test_stage_leaves_no_near_copies(spark, tmp_path):
     texts = corpus(4, 30)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
