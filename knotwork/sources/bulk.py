@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..errors import DuplicateEdge, DuplicateVertex, IncompleteLoad, SchemaViolation, VectorIndexError
 from ..functions.values import MAX_RANK
 from .graph import EDGE_COLUMNS, VERTEX_COLUMNS, declare_columns, sorted_edges
-from .spool import spool
 
 if TYPE_CHECKING:
     from .store import GraphStore
@@ -70,7 +69,7 @@ class BulkLoader:
 
     def _stored(self, df: DataFrame, part: str, *looks: Column) -> tuple[DataFrame, dict]:
         """A frame written and read back, and what was seen on the way."""
-        path, seen = f"{self._folder}/{part}-{len(self._pieces[part])}", Observation()
+        path, part, seen = f"{self._folder}/{part}-{len(self._pieces[part.split('-')[0]])}", part.split("-")[0], Observation()
         df.observe(seen, F.count("*").alias("n"), F.collect_set("label").alias("labels"), *looks).write.parquet(path)
         got = seen.get
         for label in sorted(got["labels"]):
@@ -107,13 +106,15 @@ class BulkLoader:
         if any(k in self._registry.indexes for k in edges.columns):
             raise VectorIndexError("indexes are for vertices")
         edges = edges.withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint"), "rank": F.col("rank").cast("int")})
-        if not single:
-            if not assigned:
-                edges = spool(edges)
-            if assigned or not edges.where("rank IS NULL").isEmpty():
-                edges = assign_ranks(edges)
-        odd = F.count(F.when(~F.col("rank").between(0, MAX_RANK), 1)).alias("odd")
-        edges, seen = self._stored(sorted_edges(edges), "edges", odd)
+        if assigned:
+            edges = assign_ranks(edges)
+        looks = [F.count(F.when(F.col("rank").isNull(), 1)).alias("none"), F.count(F.when(~F.col("rank").between(0, MAX_RANK), 1)).alias("odd")]
+        edges, seen = self._stored(sorted_edges(edges), "edges", *looks)
+        if seen["none"]:  # some have ranks and some have not: what was written is read once more
+            given = self._pieces["edges"].pop()
+            self._counts["edges"] -= seen["n"]
+            edges, seen = self._stored(sorted_edges(assign_ranks(edges)), "edges-ranked", *looks)
+            self._store.discard(given["path"])
         if seen["odd"]:
             raise SchemaViolation(f"a rank is outside 0 to {MAX_RANK}")
         every = edges if self._edges is None else self._edges.unionByName(edges, allowMissingColumns=True)

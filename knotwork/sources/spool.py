@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="knotwork-")
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder; in local mode, where none is set, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -16,9 +22,7 @@ def folder(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _own_folder()
 
 
 def scratch(spark: SparkSession) -> str:

@@ -51,6 +51,14 @@ def test_whole_tables_same_as_sql(spark, duck, name):
     test_same_as_sql(spark, duck, name)
 
 
+STORED = "addv adde_arriving property_of_edges drop_edges commit_conflicts read_your_writes schema_ddl nearest_euclidean index_limits bulk_edges_multi bulk_sorted_files not_next e_by_ids_found".split()
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_stored_same_as_sql(spark, duck, name):
+    test_same_as_sql(spark, duck, name)
+
+
 def test_neighbors_of_all_items(spark):
     import collections
 

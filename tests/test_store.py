@@ -285,6 +285,15 @@ def test_bulk_load_errors(spark, store):
         store.open_bulk_loader().load_vertices(v.limit(1)).load_edges(e.limit(1).selectExpr("src", "label", "99L AS dst"))
 
 
+def test_loaded_ranks_go_on_from_explicit_ones(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/many", edge_mode="multi")
+    v = spark.createDataFrame([(1, "a"), (2, "a")], "id long, label string")
+    e = spark.createDataFrame([(1, "x", 2, 4), (1, "x", 2, None), (2, "x", 1, None)], "src long, label string, dst long, rank int")
+    with store.open_bulk_loader() as loader:
+        assert loader.load_vertices(v).load_edges(e).commit().edges == 3
+    assert sorted((r.src, r["rank"]) for r in store.open().edges.collect()) == [(1, 4), (1, 5), (2, 0)]
+
+
 def test_ranks_go_on_from_explicit_ones(spark):
     from knotwork.sources.bulk import assign_ranks
 
