@@ -45,23 +45,31 @@ TURNS = 2
 BLOCK, LEAF, PAIRS = 4096, 512, 100_000
 #: Sketches compared at once, and what fills those of small sets.
 SKETCHES = 4096
+#: Texts worked on at once.
+ROWS = 1000
+#: Odd numbers by which the hashes of a shingle's words are told apart.
+PLACES = [np.uint64(int.from_bytes(xxhash.xxh64_digest(str(k))) | 1) for k in range(64)]
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words hash 0."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # words as for fingerprints
+    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words hash 0.
+
+    Words are as for fingerprints.  A shingle's hash mixes the XXH64 hashes of its words, each times
+    a number of its place, so that whole texts are hashed by arrays.
+    """
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(1, np.uint64)
-    whole = b" ".join(w)
-    if len(w) <= words:
-        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
-    starts = [0]
-    for x in w[:-1]:
-        starts.append(starts[-1] + len(x) + 1)
-    ends = [s + len(x) for s, x in zip(starts[words - 1 :], w[words - 1 :], strict=True)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(ends)))  # noqa: B905
+    own = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    n = min(words, len(w))
+    h = np.full(len(w) - n + 1, n * SEED, np.uint64)
+    for k in range(n):
+        h += own[k : len(w) - n + 1 + k] * PLACES[k % len(PLACES)] + np.uint64(k)
+    # the finisher of splitmix64: all bits depend on all
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ (h >> np.uint64(31)))
 
 
 def radius_for(similarity: float) -> int:
@@ -77,10 +85,9 @@ def signature(found: np.ndarray) -> int:
 
 def fingerprint(found: np.ndarray) -> int:
     """The unsigned 64-bit SimHash of a set of hashes."""
-    raw = found.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(raw), 1 << 16):
-        ones += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    for at in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[at : at + (1 << 16)].byteswap().view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.uint32)
     return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big")
 
 
@@ -113,6 +120,13 @@ class Tree:
         return np.concatenate(out)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at once."""
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.slice(at, ROWS)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp): the signed 64-bit signature of each row's set."""
 
@@ -134,7 +148,7 @@ def _summaries(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for b in batches:
+        for b in _pieces(batches):
             fps, sizes, prints, low = [], [], [], []
             for t in b["text"]:
                 s = shingles(t.as_py(), words)
@@ -160,10 +174,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, s
     texts = rows.select("t", "text").join(small_or_shuffled(wanted, wanted.count()), "t", "left_semi").dropDuplicates(["t"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             sets = [shingles(t.as_py(), words) for t in b["text"]]
             fps = np.fromiter(map(signature, sets), np.uint64, len(sets))
             yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "s"])
+        release()
 
     sets = spool(texts.select("text").mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"]), "sets")
 
@@ -172,6 +187,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, s
             good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(b["x"], b["y"], strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], ["a", "b"])
+        release()
 
     left = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
     both = left.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
@@ -232,6 +248,7 @@ def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFra
                         yield _batch(held)
                         held, many = [], 0
         yield _batch(held)
+        release()
 
     return _blocks(entries, largest).select("left", "right").mapInArrow(run, "a long, b long").distinct()
 

@@ -36,9 +36,9 @@ from .common import pick, release, small_or_shuffled, spool, worker_cache
 WINDOW = 1024
 END_ID = 0
 #: Bytes of words and their ids that a worker remembers, about.
-REMEMBERED = 48 << 20
+REMEMBERED = 32 << 20
 #: Bytes of text that are encoded at once, and words in a call of the tokenizer.
-SLICE = 8 << 20
+SLICE = 4 << 20
 CALL = 8192
 #: Rows of (task, length, shift) up to which they are broadcast: about 32 MB as Spark holds them.
 SHIFTS = 400_000
@@ -153,12 +153,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with ``end_id`` behind each, number of ids of each); a null text counts as empty."""
-        texts = pc.fill_null(texts, "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        n = max(1, -(-int(sizes[-1]) // SLICE)) if len(sizes) else 0
-        ends = np.unique(np.searchsorted(sizes, sizes[-1] * np.arange(1, n) / n, "right") + 1) if n > 1 else []
-        edges = [0, *[int(e) for e in ends if e < len(texts)], len(texts)]  # about as much text between any two
-        return _chained([self._slice(texts.slice(a, b - a), end_id) for a, b in zip(edges, edges[1:], strict=False) if a < b])
+        return _chained([self.encode_slice(s, end_id) for s in slices(texts)])
+
+    def encode_slice(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` at once, which takes memory of some thirty times the texts."""
+        return self._slice(pc.fill_null(texts, ""), end_id)
 
     def _slice(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.match_substring_regex(texts, self.whole)
@@ -183,6 +182,19 @@ class Encoder:
         return out, np.add.reduceat(many, ends - words)
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in turn, about as much and at most some ``SLICE`` bytes in every part."""
+    if not len(texts):
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    n = max(1, -(-int(sizes[-1]) // SLICE))
+    ends = np.unique(np.searchsorted(sizes, sizes[-1] * np.arange(1, n) / n, "right") + 1) if n > 1 else []
+    edges = [0, *[int(e) for e in ends if e < len(texts)], len(texts)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield texts.slice(a, b - a)
+
+
 def _chained(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.uint32), np.zeros(0, np.int64)), *parts, strict=True))
 
@@ -307,14 +319,24 @@ class Plan:
 _TAILS = "task int, id {}, doc_tokens long, windows array<long>, first_window long, tail binary, number long"
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut where ``slices`` cuts their texts."""
+    for b in batches:
+        at = 0
+        for part in slices(b["text"]):
+            yield b.slice(at, len(part))
+            at += len(part)
+
+
 def _tokenised(rows: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """Each document's window checksums and tail, with the task's own numbering."""
     size = 4 * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, windows, coder = TaskContext.get().partitionId(), [0] * window, 0, encoder(path)
-        for b in batches:
-            ids, counts = coder.encode(b["text"], end_id)
+        release()  # what other operators left in this worker
+        for b in _pieces(batches):
+            ids, counts = coder.encode_slice(b["text"], end_id)
             raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
             cols: list[list] = [[], [], [], [], []]
             for total in counts.tolist():
