@@ -66,7 +66,7 @@ class GraphStore:
         if self.version < 0:
             first = {"kind": "load", "registry": Registry(mode, edge_mode).dumps(), "vertices": [], "edges": [], "deltas": [], "own": None}
             self._create(0, first)  # if another opened the folder first, theirs counts
-        self.registry = Registry.loads(self._manifest(self.version)["registry"])
+        self._refresh()
 
     # files
     def _fs(self, path: str) -> tuple[Any, Any]:
@@ -235,10 +235,16 @@ class GraphStore:
     def begin(self) -> Transaction:
         return self._began(Transaction(self))
 
+    def _refresh(self) -> None:
+        """Another process may have declared names since."""
+        self.registry = Registry.loads(self._manifest(self.version)["registry"])
+
     def open_schema(self) -> StoredSchema:
+        self._refresh()
         return StoredSchema(self)
 
     def open_bulk_loader(self) -> BulkLoader:
+        self._refresh()
         return BulkLoader(self)
 
     def index_manager(self) -> IndexManager:
