@@ -36,9 +36,9 @@ from .common import pick, release, small_or_shuffled, spool, worker_cache
 WINDOW = 1024
 END_ID = 0
 #: Bytes of words and their ids that a worker remembers, about.
-REMEMBERED = 32 << 20
+REMEMBERED = 24 << 20
 #: Bytes of text that are encoded at once, and words in a call of the tokenizer.
-SLICE = 4 << 20
+SLICE = 2 << 20
 CALL = 8192
 #: Rows of (task, length, shift) up to which they are broadcast: about 32 MB as Spark holds them.
 SHIFTS = 400_000
@@ -208,7 +208,12 @@ def _gathered(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, index: np
 
 
 def encoder(path: str) -> Encoder:
-    return worker_cache(f"packing {path}", lambda: Encoder(path))
+    def make() -> Encoder:
+        made = Encoder(path)
+        release()  # parsing the vocabulary takes several times what stays
+        return made
+
+    return worker_cache(f"packing {path}", make)
 
 
 def token_ids(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
