@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import exact_dedup, near_copies, packing, pii, simhash, toxicity
-from knotwork.llm.common import indexed, skew_join, small_or_shuffled, spool
+from knotwork.llm.common import indexed, release_heaps, skew_join, small_or_shuffled, spool
 
 #: Documents scored at or above this go.
 TOXIC = 0.5
@@ -78,6 +78,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Components are those of texts whose shingles of five words are similar to 0.8 or more; texts
     without a word are alike.  Of rows that repeat an identifier and text, one stays.
     """
+    release_heaps(spark)
     found = spool(simhash.near_duplicates(docs, words=near_copies.WORDS, similarity=near_copies.SIMILARITY), "components")
     order: Column = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp"))
     best = found.groupBy("component_root").agg(F.min(order).alias("best"), F.count("*").alias("many"))
@@ -110,6 +111,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, as ``packing.pack`` has them: null and empty texts are one id, repeated rows are packed each."""
+    release_heaps(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.spool import folder as shared_folder
@@ -95,6 +95,16 @@ def release() -> None:
         trim(0)
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their heaps and give back what earlier work left in them, before work that is done in Python.
+
+    A heap grows as far as it may and keeps that until a full collection, beside which there may be no
+    room for Python workers.  Twice a core: tasks at once share a collection, and the first frees what the second compacts.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 class Remembered:
     """A dictionary of two generations, bounded by bytes: what was not asked for during the last one is forgotten."""
 

@@ -162,3 +162,15 @@ def test_stages_on_an_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+
+
+@pytest.mark.parametrize("stage", ["near_dedup", "packing"])
+def test_stages_in_python_begin_with_collected_heaps(spark, folder, stage):
+    jvm = spark._jvm
+
+    def full():
+        return sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet"), full()
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+    assert full() > before
