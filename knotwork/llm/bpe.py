@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,6 +28,8 @@ from .common import Remembered, pick, worker_cache
 
 #: Bytes of stretches of text and their ids that a worker remembers, and half as many of tokens; others are encoded anew.
 CACHE = 160 << 20
+#: Bytes of text that are encoded at once, about.
+SLICE = 4 << 20
 #: Bytes of a pre-token up to which a bucket is one bitmap of positions.
 SHORT = 256
 #: A space beside other white space (or at the end after it), where words cannot be cut apart.
@@ -103,25 +106,20 @@ class Codec:
         get, n = self.ranks.get, len(raw)
         end = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n))
-        now = [-1] * n  # rank of the pair that begins here, -1: none
-        top, low, buckets = 0, {}, {}
-        new = []
-        for i in range(n - 1):
-            if (rank := get(raw[i : i + 2])) is not None:
-                now[i] = rank
-                new.append((rank, i))
-        while True:
-            for rank, i in new:
-                if (bucket := buckets.get(rank)) is None:
-                    buckets[rank] = 1 << i
+        now = [get(raw[i : i + 2]) for i in range(n - 1)]  # rank of the pair that begins here, if any
+        now.append(None)
+        top, low, buckets, bit = 0, {}, {}, 1
+        for rank in now:
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank] |= bit
+                else:
+                    buckets[rank] = bit
                     word = rank >> 8
                     low[word] = low.get(word, 0) | 1 << (rank & 255)
                     top |= 1 << word
-                else:
-                    buckets[rank] = bucket | 1 << i
-            new = []
-            if not top:
-                break
+            bit <<= 1
+        while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = word << 8 | (bits & -bits).bit_length() - 1
@@ -133,26 +131,35 @@ class Codec:
             else:
                 del buckets[rank]
                 bits &= bits - 1
-                if bits:
-                    low[word] = bits
-                else:
-                    del low[word]
+                low[word] = bits
+                if not bits:
                     top &= top - 1
             if now[i] != rank:
                 continue  # stale
             j = end[i]
             k = end[i] = end[j]
-            now[j] = now[i] = -1
+            now[j] = None
             before[k] = i
-            if k < n and (rank := get(raw[i : end[k]])) is not None:
-                now[i] = rank
-                new.append((rank, i))
-            if (h := before[i]) >= 0:
-                if (rank := get(raw[h:k])) is not None:
-                    now[h] = rank
-                    new.append((rank, h))
+            now[i] = rank = get(raw[i : end[k]]) if k < n else None
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank] |= 1 << i
                 else:
-                    now[h] = -1
+                    buckets[rank] = 1 << i
+                    word = rank >> 8
+                    low[word] = low.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+            h = before[i]
+            if h >= 0:
+                now[h] = rank = get(raw[h:k])
+                if rank is not None:
+                    if rank in buckets:
+                        buckets[rank] |= 1 << h
+                    else:
+                        buckets[rank] = 1 << h
+                        word = rank >> 8
+                        low[word] = low.get(word, 0) | 1 << (rank & 255)
+                        top |= 1 << word
         out, i, ranks = [], 0, self.ranks
         while i < n:
             out.append(ranks[raw[i : end[i]]])
@@ -209,26 +216,46 @@ class Codec:
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
-        A single space between other characters always begins a pre-token, so a text without close
-        white space is cut there and each stretch is looked up; other texts are cut by the pattern.
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of each text; a null one counts as empty."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        edges = np.flatnonzero(np.diff(sizes // SLICE, prepend=0, append=-1)).tolist()  # where another slice begins, and the end
+        return [ids for a, b in zip([0, *edges], edges, strict=False) if a < b for ids in self._slice(texts.slice(a, b - a))]
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        """``encode_all`` at once.
+
+        A single space between other characters always begins a pre-token, so texts without close
+        white space are cut there and each distinct stretch is looked up once; other texts are cut by the pattern.
         """
-        if not text:
-            return b""
-        if CLOSE_SPACE.search(text):
-            return b"".join(map(self._token, self.find(text)))
-        head, *rest = text.split(" ")
-        stretches = [" " + x for x in rest]
-        get = self.stretches.get
-        found = [get(s) for s in stretches]
-        new = list(dict.fromkeys(s for s, ids in zip(stretches, found, strict=True) if ids is None))
-        if new:
-            fresh = self._fresh(new)
-            for s, ids in fresh.items():
-                self.stretches.put(s, ids)
-            found = [fresh[s] if ids is None else ids for s, ids in zip(stretches, found, strict=True)]
-        return b"".join(map(self._token, self.find(head))) + b"".join(found)
+        plain = [t or "" for t in texts.to_pylist()]
+        whole = {i: t for i, t in enumerate(plain) if CLOSE_SPACE.search(t)}
+        for i in whole:
+            plain[i] = ""
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        begin = cut.offsets.to_numpy().astype(np.int64)
+        words, follows = cut.flatten(), np.ones(int(begin[-1]), bool)
+        follows[begin[:-1]] = False  # a text's first word follows no space
+        heads = words.take(pa.array(begin[:-1])).to_pylist()
+        coded = words.filter(pa.array(follows)).dictionary_encode()
+        stretches = [" " + w for w in coded.dictionary.to_pylist()]
+        found = list(map(self.stretches.get, stretches))
+        fresh = self._fresh([s for s, ids in zip(stretches, found, strict=True) if ids is None])
+        for s, ids in fresh.items():
+            self.stretches.put(s, ids)
+        found = pa.array([fresh[s] if ids is None else ids for s, ids in zip(stretches, found, strict=True)], pa.large_binary())
+        joined = found.take(coded.indices)  # its bytes are the ids of all stretches in turn
+        data = memoryview(joined.buffers()[2] or b"")
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(joined).to_numpy().astype(np.int64))])
+        ends = ends[begin - np.arange(len(begin))].tolist()  # of the stretches before each text
+        out = []
+        for i, head in enumerate(heads):
+            first = b"".join(map(self._token, self.find(whole.get(i, head))))
+            out.append(first + data[ends[i] : ends[i + 1]])
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
@@ -250,7 +277,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern)
         for b in batches:
-            ids = [coder.encode(t.as_py() or "") for t in b["text"]]
+            ids = coder.encode_all(b["text"])
             yield pa.RecordBatch.from_arrays(
                 [b["id"], pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"]
             )
@@ -270,8 +297,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         coder, sha = codec(ranks_path, pattern), hashlib.sha256
         for b in batches:
             counts, first, second = [], [], []
-            for t in b["text"]:
-                ids = coder.encode(t.as_py() or "")
+            for ids in coder.encode_all(b["text"]):
                 counts.append(len(ids) // 4)
                 first.append(sha(ids).hexdigest())
                 second.append(sha(coder.decode(ids)).hexdigest())

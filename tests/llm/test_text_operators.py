@@ -164,6 +164,22 @@ def test_bpe_matches_the_library(docs, nothing, texts):
     assert bpe.digests(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_looks_distinct_stretches_up_once(texts, monkeypatch):
+    coder = bpe.Codec(bpe.codec(RANKS, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(7)
+    many = texts + ["".join(rng.choice("ab \n\t's1.\x85 日") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    asked, get = [], coder.stretches.get
+    monkeypatch.setattr(coder.stretches, "get", lambda key: asked.append(key) or get(key))
+    ids = coder.encode_all(pa.array(many, pa.string()))
+    assert asked and len(asked) == len(set(asked))
+    expected = [reference.encode_ordinary(t or "") for t in many]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == expected
+    monkeypatch.setattr(bpe, "SLICE", 100)  # many slices, some of one long text
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_all(pa.array(many, pa.string()).slice(3))] == expected[3:]
+    assert coder.encode_all(pa.array([], pa.string())) == [] and coder.encode_all(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
 def test_bpe_remembers_a_bounded_number_of_bytes():
     r = bpe.Remembered(4000)
     for i in range(1000):
