@@ -13,8 +13,11 @@ are smaller than that are compared whole, within a wider radius.
 
 In some turns every text is compared with one of those that it meets in each of its shards; then, where
 texts that meet are still in different components, all such pairs are.  So a large group that the
-turns have joined costs no more than its size.  A shard of any size is cut into blocks, pairs of which
-are tasks of their own.
+turns have joined costs no more than its size.  Of a group that they have not joined, the pairs that may
+be similar grow with the square of its size, so they are never rows: a shard gives a spanning forest of them,
+the trees of all shards together are clusters that no such pair leaves, and the sets of a cluster are
+compared where they meet, pair by pair, until all are in one component or none is left.  That gives a
+spanning forest again.  Shards and clusters of any size are cut into blocks, pairs of which are tasks of their own.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ DEVIATIONS = 3.8
 SMALL, STRAY = 64, 8
 #: Turns of one set in each shard before all remaining pairs; bears on cost alone.
 TURNS = 2
-#: Members of a block of a shard, values of a leaf of a tree, pairs in a batch.
-BLOCK, LEAF, PAIRS = 4096, 512, 100_000
+#: Members of a block of a shard or cluster, values of a leaf of a tree, links in a batch.
+BLOCK, LEAF, LINKS = 4096, 512, 100_000
+#: Hashes of a block of a cluster, about, and those looked up at once.
+HASHES, LOOKED_UP = 1 << 20, 1 << 20
 #: Sketches compared at once, and what fills those of small sets.
 SKETCHES = 4096
 #: Texts worked on at once.
@@ -165,12 +170,9 @@ def _summaries(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t long, fp long, n int, print long, low array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets, made again from the texts, are similar enough."""
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = spool(nodes.join(wanted, "fp", "left_semi").select("t").distinct(), "wanted")
+def _sets(fps: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(fp, s): the sets of these signatures, made again from the texts."""
+    wanted = spool(nodes.join(fps, "fp", "left_semi").select("t").distinct(), "wanted")
     texts = rows.select("t", "text").join(small_or_shuffled(wanted, wanted.count()), "t", "left_semi").dropDuplicates(["t"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, s
             yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "s"])
         release()
 
-    sets = spool(texts.select("text").mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"]), "sets")
+    return spool(texts.select("text").mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"]), "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets, made again from the texts, are similar enough."""
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), nodes, rows, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,8 +227,27 @@ def _blocks(entries: DataFrame, largest: int) -> DataFrame:
     )
 
 
-def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFrame:
-    """(a, b): the pairs of each shard with different roots that may be similar, by a BK-tree of each block."""
+class Groups:
+    """Labels of members, those of one group alike, and the links that have joined groups."""
+
+    def __init__(self, fp: np.ndarray, labels: np.ndarray) -> None:
+        self.fp, self.labels, self.links = fp, labels, []
+
+    def others(self, i: int, at: np.ndarray) -> np.ndarray:
+        return at[self.labels[at] != self.labels[i]]
+
+    def join(self, i: int, at: np.ndarray) -> None:
+        """One link from the member i to each group of the members ``at``, which is then its own."""
+        labels, first = np.unique(self.labels[at], return_index=True)
+        self.links += [(max(self.fp[i], self.fp[j]), min(self.fp[i], self.fp[j])) for j in at[first]]
+        if len(labels) == 1:
+            self.labels[self.labels == labels[0]] = self.labels[i]
+        else:
+            self.labels[np.isin(self.labels, labels)] = self.labels[i]
+
+
+def _candidates(entries: DataFrame, similarity: float, largest: int) -> DataFrame:
+    """(a, b): a spanning forest of each shard's pairs that have different roots and may be similar, by a BK-tree of each block."""
     radius = radius_for(similarity)
 
     def fields(member: pa.Array) -> tuple[np.ndarray, ...]:
@@ -227,32 +255,111 @@ def _pairs_apart(entries: DataFrame, similarity: float, largest: int) -> DataFra
         return fp, n, bits.view(np.uint64), root, sketches(member.field("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+        held = []
         for batch in batches:
             for left, right in zip(batch["left"], batch["right"], strict=True):
-                alone = not len(right)
-                fp, n, bits, root, low = fields(left.values)
-                ofp, on, obits, oroot, olow = fields((left if alone else right).values)
-                tree = Tree(obits)
-                for i in range(len(fp)):
-                    at = tree.within(bits[i], radius + STRAY * int(n[i] < SMALL / similarity))
-                    small, large = np.minimum(n[i], on[at]), np.maximum(n[i], on[at])
-                    at = at[(oroot[at] != root[i]) & (small >= similarity * large - 1e-9) & ((at > i) | (not alone))]
+                own = fields(left.values)
+                alone, many = not len(right), len(own[0])
+                fp, n, bits, root, low = own if alone else (np.concatenate(x) for x in zip(own, fields(right.values), strict=True))
+                groups, start = Groups(fp, np.arange(len(fp))), 0 if alone else many
+                tree = Tree(bits[start:])
+                for i in range(many):
+                    at = start + tree.within(bits[i], radius + STRAY * int(n[i] < SMALL / similarity))
+                    at = groups.others(i, at[(root[at] != root[i]) & (at > i)])
+                    small, large = np.minimum(n[i], n[at]), np.maximum(n[i], n[at])
+                    at = at[small >= similarity * large - 1e-9]
                     for k in range(0, len(at), SKETCHES):
-                        some = at[k : k + SKETCHES]
-                        some = some[alike(low[i], n[i], olow[some], on[some], similarity)]
+                        some = groups.others(i, at[k : k + SKETCHES])
+                        some = some[alike(low[i], n[i], low[some], n[some], similarity)]
                         if len(some):
-                            held.append(np.stack([np.maximum(ofp[some], fp[i]), np.minimum(ofp[some], fp[i])]))
-                            many += len(some)
-                    if many >= PAIRS:
-                        yield _batch(held)
-                        held, many = [], 0
+                            groups.join(i, some)
+                held += groups.links
+                if len(held) >= LINKS:
+                    yield _batch(held)
+                    held = []
         yield _batch(held)
         release()
 
     return _blocks(entries, largest).select("left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
+def _linked(forest: DataFrame, rooted: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the similar sets with different roots within each tree of ``forest``, by their whole sets."""
+    if forest.isEmpty():
+        return forest
+    stars = components(forest).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+    stars = spool(stars.unionByName(stars.select(F.col("cluster").alias("fp"), "cluster").distinct()), "clusters")
+    sets = _sets(stars.select("fp"), nodes, rows, words)
+    members = spool(stars.join(rooted.select("fp", "root"), "fp").join(nodes.select("fp", "n"), "fp"), "members")
+    # what is all of one root has no more to find
+    sizes = members.groupBy("cluster").agg(F.min("root").alias("r"), F.max("root").alias("top"), F.count("*").alias("many"), F.sum("n").alias("hashes")).filter("r != top")
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("hashes") / HASHES)).cast("int")
+    cut = skew_join(members, sizes.select("cluster", "many", blocks.alias("blocks")), "cluster", "many")
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))))
+    cut = cut.select("fp", "root", "n", "cluster", own.alias("o"), pair.alias("p")).select("fp", "root", "n", "cluster", "p.i", "p.j", (F.col("o") == F.col("p.i")).alias("left"))
+    met = cut.join(sets, "fp").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, fp, root, left, found = [], None, [], [], [], []
+        for b in batches:
+            which = [b[c].to_numpy() for c in ("cluster", "i", "j")]
+            edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in which], axis=0)) + 1
+            for at, end in zip([0, *edges], [*edges, len(b)], strict=True):
+                now = tuple(int(x[at]) for x in which) if end else key
+                if now != key:
+                    held += compared(fp, root, left, found, key, similarity)
+                    key, fp, root, left, found = now, [], [], [], []
+                    if len(held) >= LINKS:
+                        yield _batch(held)
+                        held = []
+                part = b.slice(at, end - at)
+                fp += part["fp"].to_pylist()
+                root += part["root"].to_pylist()
+                left += part["left"].to_pylist()
+                found += [np.frombuffer(s.as_py(), np.uint64) for s in part["s"]]
+        held += compared(fp, root, left, found, key, similarity)
+        yield _batch(held)
+        release()
+
+    return met.select("cluster", "i", "j", "fp", "root", "left", "s").mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(fp: list[int], root: list[int], left: list[bool], sets: list[np.ndarray], key: tuple[int, int, int] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the members of similar sets, of a block or between two blocks, whose roots differ.
+
+    Every pair is compared by its whole sets, but for those that links have put into one group before.
+    """
+    if len(fp) < 2:
+        return []
+    alone = key[1] == key[2]
+    groups = Groups(np.array(fp), np.unique(np.array(root), return_inverse=True)[1])
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(place.astype(np.int32), np.cumsum(n)[:-1])
+    own, across = np.zeros(len(every), bool), np.flatnonzero(~np.array(left))
+    del every, place
+    for i in range(len(fp)) if alone else np.flatnonzero(left):
+        at = groups.others(i, np.arange(i + 1, len(fp)) if alone else across)
+        at = at[np.minimum(n[i], n[at]) >= similarity * np.maximum(n[i], n[at]) - 1e-9]
+        if not len(at):
+            continue
+        own[ids[i]] = True
+        pieces = np.cumsum(n[at]) // LOOKED_UP
+        for piece in range(pieces[0], pieces[-1] + 1):
+            some = at[np.searchsorted(pieces, piece) : np.searchsorted(pieces, piece, "right")]
+            some = groups.others(i, some)
+            if not len(some):
+                continue
+            starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+            both = np.add.reduceat(own[np.concatenate([ids[j] for j in some])], starts, dtype=np.int64)
+            some = some[both >= similarity * (n[i] + n[some] - both) - 1e-9]
+            if len(some):
+                groups.join(i, some)
+        own[ids[i]] = False
+    return groups.links
+
+
 def sketches(low: pa.Array) -> np.ndarray:
     """(sets, SKETCH) unsigned hashes in order, with the largest number behind those of smaller sets."""
     sizes = np.diff(low.offsets.to_numpy())
@@ -273,9 +380,9 @@ def alike(own: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, simila
     return np.where(whole, common >= similarity * (n + sizes - common) - 1e-9, least >= share)
 
 
-def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
-    got = np.unique(np.concatenate(held, 1), axis=1) if held else np.zeros((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    got = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -306,8 +413,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = found if linked is None else linked.unionByName(found)
         rooted = _rooted(nodes, linked)
     members = entries.join(rooted.select("fp", "root"), "fp").join(nodes.select("fp", "low"), "fp")
-    rest = spool(_pairs_apart(members, similarity, largest).join(tried, ["a", "b"], "left_anti"), "rest")
-    found = spool(_verified(rest, nodes, texts, words, similarity), "linked")
+    forest = spool(_candidates(members, similarity, largest), "forest")
+    found = spool(_linked(forest, rooted, nodes, texts, words, similarity), "linked")
     if not found.isEmpty():
         rooted = _rooted(nodes, found if linked is None else linked.unionByName(found))
     lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count("*").alias("many"))

@@ -92,3 +92,42 @@ def test_stage_leaves_no_near_copies(spark, tmp_path):
     kept = [r["text"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, str(tmp_path)).collect()]
     assert not any(alike(a, b) for i, a in enumerate(kept) for b in kept[:i])
     assert all(any(alike(t, k) or t == k for k in kept) or any(t != u and alike(t, u) for u in texts) for t in texts)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_do_not_grow_with_pairs(spark, monkeypatch, small):
+    """A group whose pairs mostly just miss the similarity, so that stars leave most members apart, makes no row for each pair."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    texts = []
+    for k in range(240):
+        own = list(base)
+        for at in rng.sample(range(120), 1 + k % 4):
+            own[at] = f"x{k}_{at}"
+        texts.append(" ".join(own))
+    if small:  # clusters cut by members and by hashes, few looked up at once
+        monkeypatch.setattr(near_copies, "BLOCK", 50)
+        monkeypatch.setattr(near_copies, "HASHES", 3000)
+        monkeypatch.setattr(near_copies, "LOOKED_UP", 1000)
+    made, spool = {}, near_copies.spool
+
+    def counted(df, name):
+        out = spool(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "spool", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(df).collect()}
+    links = [(i, j) for i, a in enumerate(texts) for j in range(i) if alike(a, texts[j])]
+    low = list(range(len(texts)))
+    for _ in texts:
+        before = list(low)
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            break
+    assert got == dict(enumerate(low))
+    assert 1 < len(set(low)) < len(texts)
+    if not small:
+        assert max(made.values()) <= len(texts) * near_copies.LOWEST, made
