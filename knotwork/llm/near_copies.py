@@ -251,8 +251,10 @@ def _candidates(entries: DataFrame, similarity: float, largest: int) -> DataFram
     radius = radius_for(similarity)
 
     def fields(member: pa.Array) -> tuple[np.ndarray, ...]:
-        fp, n, bits, root = (member.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "print", "root"))
-        return fp, n, bits.view(np.uint64), root, sketches(member.field("low"))
+        # in order, so that a task that runs again gives the same forest
+        order = np.argsort(member.field("fp").to_numpy(zero_copy_only=False))
+        fp, n, bits, root = (member.field(c).to_numpy(zero_copy_only=False)[order] for c in ("fp", "n", "print", "root"))
+        return fp, n, bits.view(np.uint64), root, sketches(member.field("low"))[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -298,7 +300,7 @@ def _linked(forest: DataFrame, rooted: DataFrame, nodes: DataFrame, rows: DataFr
     own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))))
     cut = cut.select("fp", "root", "n", "cluster", own.alias("o"), pair.alias("p")).select("fp", "root", "n", "cluster", "p.i", "p.j", (F.col("o") == F.col("p.i")).alias("left"))
-    met = cut.join(sets, "fp").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    met = cut.join(sets, "fp").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, fp, root, left, found = [], None, [], [], [], []

@@ -131,3 +131,17 @@ def test_rows_do_not_grow_with_pairs(spark, monkeypatch, small):
     assert 1 < len(set(low)) < len(texts)
     if not small:
         assert max(made.values()) <= len(texts) * near_copies.LOWEST, made
+
+
+def test_forests_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 62, 100, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[1:], rng.integers(1 << 62, 1 << 63, 15, dtype=np.uint64)])) for _ in range(40)]
+    rows = [(k, len(s), int(np.uint64(near_copies.fingerprint(s)).view(np.int64)), k, [int(x) for x in s[: near_copies.SKETCH]], 1) for k, s in enumerate(sets)]
+
+    def forest(rows):
+        df = spark.createDataFrame(rows, "fp long, n int, print long, root long, low array<long>, h long").coalesce(1)
+        return sorted(tuple(r) for r in near_copies._candidates(df, 0.7, len(rows)).collect())
+
+    assert forest(rows) == forest(rows[::-1])
+    assert len(forest(rows)) == len(rows) - 1
