@@ -56,3 +56,65 @@ def test_until_over_single_ways_doubles(spark, monkeypatch):
     g = graph(spark, [(i, i + 1) for i in range(100)], colours, 1000).g()
     assert ids(g.V().repeat(__.out("next")).until(__.has("colour", "red")).id().to_df()) == [100] * 100
     assert len(written) <= 10
+
+
+def stars(spark, hubs, leaves, max_iterations=6):
+    """Leaves of several hubs; every leaf has an edge to each hub of its set."""
+    colours = {i: "hub" for i in range(hubs)} | {100 + i: "leaf" for i in range(leaves)}
+    pick = random.Random(3)
+    sets = [pick.sample(range(hubs), pick.choice([1, 3, 3, 4])) for _ in range(6)]
+    links = {(100 + i, h) for i in range(leaves) for h in sets[i % 6]}
+    return graph(spark, links, colours, max_iterations).g(), links
+
+
+def set_walk(links, start, times):
+    """Vertices after each pass of both().dedup()."""
+    out, now = [], {start}
+    for _ in range(times):
+        now = {b for a in now for x, y in links for b in ((y,) if x == a else ()) + ((x,) if y == a else ())}
+        out.append(now)
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 4])
+def test_dedup_by_start_gives_each_start_its_own(spark, times):
+    g, links = stars(spark, 5, 40)
+    starts = [*range(100, 140), 100, 107]
+    loop = lambda: g.V(*starts).repeat(__.both("next").dedup()).times(times)
+    want = [set_walk(links, s, times) for s in starts]
+    assert ids(loop().id().to_df()) == sorted(v for w in want for v in w[-1])
+    assert loop().count().to_list() == [sum(len(w[-1]) for w in want)]
+    assert loop().emit().count().to_list() == [sum(len(x) for w in want for x in w)]
+    assert ids(loop().emit().id().to_df()) == sorted(v for w in want for x in w for v in x)
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Sets of one size with the same ends, whose hashes are made equal."""
+    from knotwork.operators import compile as compiler
+
+    links = {(100 + i, h) for i in range(8) for h in ((0, 1 + i % 2, 5))} | {(200 + h, h) for h in range(6)}
+    g = graph(spark, links, {x: "x" for link in links for x in link}).g()
+    monkeypatch.setattr(compiler.F, "xxhash64", lambda *cols: compiler.F.lit(7).cast("bigint"))
+    df = g.V(*range(100, 108)).repeat(__.out("next").dedup()).times(1).id().to_df()
+    assert df.count() == 24
+    got = g.V(*range(100, 108)).repeat(__.both("next").dedup()).times(2).id().to_df()
+    assert ids(got) == sorted(v for i in range(100, 108) for v in set_walk(links, i, 2)[-1])
+
+
+def test_starts_alike_go_on_as_one(spark):
+    """A pass after the first has rows for distinct sets only, and starts are counted before they meet their results."""
+    g, links = stars(spark, 5, 600)
+    df = g.V().hasId(P.gte(100)).repeat(__.both("next").dedup()).times(2).count().to_df()
+    assert df.collect()[0][0] == sum(len(set_walk(links, 100 + i, 2)[-1]) for i in range(6)) * 100
+    rows = []
+    walk = [df._jdf.queryExecution().executedPlan()]
+    while walk:
+        node = walk.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        if node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        walk += [node.children().apply(i) for i in range(node.children().size())]
+    assert max(rows) < 20000  # one for each start and result would be over 100,000
