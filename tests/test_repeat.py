@@ -118,3 +118,38 @@ def test_starts_alike_go_on_as_one(spark):
             rows.append(node.metrics().apply("numOutputRows").value())
         walk += [node.children().apply(i) for i in range(node.children().size())]
     assert max(rows) < 20000  # one for each start and result would be over 100,000
+
+
+def scans(df):
+    return str(df._jdf.queryExecution().optimizedPlan()).count("Relation [")
+
+
+def test_until_with_several_ways_reads_its_results_at_once(spark):
+    """Stepwise passes: the plan of the result does not grow with their number, and its steps are not made again."""
+    colours = {i: "red" if i % 9 == 8 else "grey" for i in range(40)}
+    links = [(i, i + d) for i in range(40) for d in (1, 2) if i + d < 40 and (d == 1 or i % 5 == 0)]
+    g = graph(spark, links, colours, 100).g()
+    df = g.V().repeat(__.out("next")).until(__.has("colour", "red")).id().to_df()
+    assert ids(df) == walked(links, colours, range(40), "red")
+    assert scans(df) == 1
+    emitted = g.V(0, 3).repeat(__.out("next")).until(__.where(__.in_("next").has("colour", "red"))).emit().id().to_df()
+    assert scans(emitted) == 1 and emitted.count() > 10
+    ordered = g.V(3, 0).repeat(__.out("next")).until(__.has("colour", "red")).id().to_list()
+    assert sorted(ordered) == walked(links, colours, [3, 0], "red")
+
+
+def test_edges_of_a_loop_are_made_once(spark):
+    """However many passes there are, what makes the edges runs a bounded number of times."""
+    made = spark.sparkContext.accumulator(0)
+    colours = {i: "red" if i == 30 else "grey" for i in range(31)}
+    base = graph(spark, [(i, i + 1) for i in range(30)], colours, 100)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    g = base.with_frames(edges=base.edges.mapInArrow(count, base.edges.schema)).g()
+    assert ids(g.V(0).repeat(__.out("next")).until(__.has("colour", "red")).id().to_df()) == [30]
+    assert g.V(0).repeat(__.out("next")).until(__.has("colour", "red")).id().to_list() == [30]
+    assert made.value <= 4 * 30
